@@ -17,6 +17,12 @@ def op8_byte_bpe(spark, sf_dir):
     return op8(spark, read(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    from parchmint.llm.rules import op9
+
+    return op9(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     from parchmint.llm.decontaminate import op10
 
@@ -26,6 +32,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
 
