@@ -5,6 +5,12 @@ from __future__ import annotations
 from parchmint.llm.common import read
 
 
+def op1_quality_classifier(spark, sf_dir):
+    from parchmint.llm.classifier import op1
+
+    return op1(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark, sf_dir):
     from parchmint.llm.shard import interleave
 
@@ -30,6 +36,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op7_sharding": op7_sharding,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
