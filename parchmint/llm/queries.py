@@ -11,6 +11,12 @@ def op1_quality_classifier(spark, sf_dir):
     return op1(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark, sf_dir):
+    from parchmint.llm.language import op6
+
+    return op6(read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark, sf_dir):
     from parchmint.llm.shard import interleave
 
@@ -37,6 +43,7 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
