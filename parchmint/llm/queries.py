@@ -11,6 +11,18 @@ def op1_quality_classifier(spark, sf_dir):
     return op1(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark, sf_dir):
+    from parchmint.llm.warc import op2
+
+    return op2(spark, read(spark, sf_dir, "pages"))
+
+
+def op4_secrets(spark, sf_dir):
+    from parchmint.llm.secrets import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     from parchmint.llm.language import op6
 
@@ -43,6 +55,8 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_warc": op2_warc,
+    "op4_secrets": op4_secrets,
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
     "op8_byte_bpe": op8_byte_bpe,
