@@ -88,7 +88,11 @@ def scan(docs: DataFrame, owners: int = OWNERS, **columns) -> DataFrame:
     repository counts like any other. Overlapping spans of different kinds all stay.
     """
     found = cut(candidates(docs, **columns)).withColumn("row", F.monotonically_increasing_id())
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind_order"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+
+    def number(k):
+        return F.size(F.filter("base", lambda s: s["kind_order"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [number(k) for k in range(3)]
     plain = found.select("row", "doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), F.concat("base", "opaque").alias("all"))
     # the frequencies are cut off from their plan so that the join sees two plain shuffles and can split a hot hash
     frequent = cut(ownership(found))
