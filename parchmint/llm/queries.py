@@ -23,6 +23,12 @@ def op4_secrets(spark, sf_dir):
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    from parchmint.llm.jaccard import op5
+
+    return op5(read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     from parchmint.llm.language import op6
 
@@ -57,6 +63,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc": op2_warc,
     "op4_secrets": op4_secrets,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
     "op8_byte_bpe": op8_byte_bpe,
