@@ -17,6 +17,12 @@ def op2_warc(spark, sf_dir):
     return op2(spark, read(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    from parchmint.llm.suffix import op3
+
+    return op3(read(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark, sf_dir):
     from parchmint.llm.secrets import scan
 
@@ -62,6 +68,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc": op2_warc,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secrets": op4_secrets,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
