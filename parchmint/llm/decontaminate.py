@@ -227,5 +227,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     return joined.select("doc_id", "n_words", "bits", "items").mapInArrow(merged, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of an item. One narrow pass for each block of items."""
+    at = docs.columns.index(text_col)
+    for held, _ in _blocks(benchmark, item_col, item_text_col, block_chars):
+
+        def run(parts, held=held):
+            index = _index(held, size)
+            for part in parts:
+                for a, b in batches(part.column(at)):
+                    piece = part.slice(a, b - a)
+                    yield piece.filter(pa.array([hit is None for _, hit, _ in scan(index, piece.column(at).to_pylist())], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op10(spark, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontaminate(docs, benchmark, size=10)

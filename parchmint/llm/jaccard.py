@@ -361,5 +361,28 @@ def groups(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: s
     return out.unionAll(told.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_first(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, less those whose component has a smaller id.
+
+    Of rows that repeat an id, one stays. Rows without an id can't be told apart and stay. Only the ids that go are
+    sent to the rows: by broadcast if they are few enough, else by a shuffle.
+    """
+    found = groups(docs, sim, id_col, text_col)
+    key = F.col(f"`{id_col}`").cast("long")
+    counted = cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m"), F.min("component_id").alias("least")))
+    gone = cut(counted.where("least < doc_id").select("doc_id"))
+    twice = cut(counted.where("m > 1 AND least = doc_id").select("doc_id"))
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join((F.broadcast(gone) if few else gone).withColumnRenamed("doc_id", "__gone"), key == F.col("__gone"), "left_anti")
+    if twice.isEmpty():
+        return kept.select(*[f"`{c}`" for c in docs.columns])
+    side = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
+    side = side.withColumnRenamed("doc_id", "__twice")
+    single = kept.join(side, key == F.col("__twice"), "left_anti")
+    one = kept.join(side, key == F.col("__twice"), "left_semi")
+    one = one.groupBy(key.alias("__key")).agg(F.first(F.struct(*[f"`{c}`" for c in docs.columns])).alias("__row"))
+    return single.unionByName(one.select("__row.*"))
+
+
 def op5(docs: DataFrame) -> DataFrame:
     return groups(docs, Similarity(words=3, num=90, den=100))

@@ -47,24 +47,28 @@ def _search(rows: DataFrame, kind: int, pattern: str) -> DataFrame:
     return rows.withColumn(name, F.coalesce(found, none))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, owner, repo, and base and opaque spans with a hash of the credential in each; no text."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{owner_col}`").cast("string").alias("owner"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
+def _spans(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """rows (with the text as body) with base and opaque spans instead of the body; each has the hash of its credential."""
     for kind, pattern in enumerate((ASSIGN, ACCESS, HEX, OPAQUE)):
         rows = _search(rows, kind, pattern)
     value = F.regexp_extract
     rows = rows.withColumn("assign", F.filter("assign", lambda s: F.length(value(s["value"], ASSIGN, 2)) >= 8))
     rows = rows.withColumn("access", F.filter("access", lambda s: F.length(s["value"]) >= 16))
-    base = F.array_sort(F.concat("assign", "access", "hex"))
+    rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
-    rows = rows.withColumn("base", base)
     rows = rows.withColumn("opaque", F.filter("opaque", lambda s: mixed(s) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
 
     def hashed(s):
         secret = F.when(s["kind_order"] == 0, value(s["value"], ASSIGN, 2)).otherwise(s["value"])
-        return F.struct(s["start"], s["kind_order"], s["end"], F.sha2(secret, 256).alias("hash"))
+        return F.struct(s["start"], s["kind_order"], s["end"], (s["end"] - F.length(secret)).alias("value_start"), F.sha2(secret, 256).alias("hash"))
 
-    return rows.select("doc_id", "owner", "repo", F.transform("base", hashed).alias("base"), F.transform("opaque", hashed).alias("opaque"))
+    return rows.select(*kept, F.transform("base", hashed).alias("base"), F.transform("opaque", hashed).alias("opaque"))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, owner, repo, and base and opaque spans; no text."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{owner_col}`").cast("string").alias("owner"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
+    return _spans(rows, ["doc_id", "owner", "repo"])
 
 
 def told(spans: Column) -> Column:
@@ -81,6 +85,41 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners")).where("n > 1")
 
 
+MASK = "[SECRET]"
+#: Rows whose masks are broadcast at most; beyond, texts and masks are shuffled.
+BROADCAST_ROWS = 150_000
+
+
+def redact(docs: DataFrame, owners: int = OWNERS, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = MASK) -> DataFrame:
+    """The rows of docs, with all their columns; in the text, credentials that fewer than `owners` owners have are masked.
+
+    Only the credential goes: of an assignment the value, not the name. Credentials of copied examples stay. What is
+    masked by one mask may be several candidates that overlap. A null text stays null; rows that repeat stay.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    row_key = [F.xxhash64(F.lit(seed), F.col(f"`{repo_col}`").cast("string"), text).alias(name) for seed, name in ((1, "__k1"), (2, "__k2"))]
+    rows = docs.select(F.col(f"`{owner_col}`").alias("source"), F.col(f"`{repo_col}`").cast("string").alias("repo"), text.alias("text"), *row_key)
+    found = cut(_spans(rows.select("source", "repo", "__k1", "__k2", F.coalesce("text", F.lit("")).alias("body")), ["source", "repo", "__k1", "__k2"]).where(F.size("base") + F.size("opaque") > 0))
+    found = found.withColumnsRenamed({"source": "owner"})
+    often = cut(ownership(found))
+    each = found.select("__k1", "__k2", F.explode(F.concat("base", "opaque")).alias("s")).select("__k1", "__k2", "s.*").distinct()
+    each = each.join(often, "hash", "left").withColumn("n_owners", F.coalesce("n_owners", F.lit(1)))
+    live = each.where((F.col("n_owners") < owners) & ((F.col("kind_order") < 3) | (F.col("n_owners") < 2)))
+    masks = cut(live.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(F.struct("value_start", "end"))).alias("__masks")))
+    side = F.broadcast(masks) if masks.count() <= BROADCAST_ROWS else masks
+
+    def add(held, x):
+        before = F.col(f"`{text_col}`").substr((held["at"] + 1).cast("int"), (x["value_start"] - held["at"]).cast("int"))
+        out = F.when(x["value_start"] >= held["at"], F.concat(held["out"], before, F.lit(mask))).otherwise(held["out"])
+        return F.struct(F.greatest(held["at"], x["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate("__masks", start, add, lambda held: F.concat(held["out"], F.col(f"`{text_col}`").substr((held["at"] + 1).cast("int"), F.length(F.col(f"`{text_col}`")))))
+    masked = F.when(F.col("__masks").isNotNull(), whole).otherwise(F.col(f"`{text_col}`"))
+    joined = docs.withColumn("__k1", row_key[0]).withColumn("__k2", row_key[1]).join(side, ["__k1", "__k2"], "left")
+    return joined.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def scan(docs: DataFrame, owners: int = OWNERS, **columns) -> DataFrame:
     """Per row: base counts and digest, all spans, how many candidates are live-looking or copied, and the live spans.
 
