@@ -19,7 +19,6 @@ in one task.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +29,11 @@ from pyspark.sql import functions as F
 
 from parchmint.llm.common import cut, mix, texts
 from parchmint.llm.components import connected_components
+from parchmint.llm.sketch import BLOCK_BITS, Cells, cell, flags, gathered, in_order, passes
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Cells of the frequency sketch. Its ordering tells shingles apart that are more frequent than the mean cell.
-SKETCH_BITS = 22
-#: Cells of the filter of shared prefix shingles.
-SHARED_BITS = 24
-BLOCKS = 128
+#: Cells of the frequency sketch, as a power of two. It tells shingles apart that are more frequent than the mean cell.
+SKETCH_BITS = 25
 #: Ranges of the order by hash over which the suffix filter counts.
 RANGES = 32
 #: Ids that are broadcast at most to read only the texts that a verification needs; beyond, all are read.
@@ -99,102 +96,63 @@ def signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    """Counts on a scale of a byte, 8 steps to a doubling."""
-    return np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash of a set, which tell the shingles of two texts apart."""
+    return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _packed(cells: np.ndarray, schema_names: list[str], extra: dict) -> list[pa.RecordBatch]:
-    """A partition's cells as compressed blocks, of which only those with entries are given out."""
-    size = len(cells) // BLOCKS
-    kept = [(k, zlib.compress(cells[k * size : (k + 1) * size].tobytes(), 1)) for k in range(BLOCKS) if cells[k * size : (k + 1) * size].any()]
-    columns = extra | {"block": pa.array([k for k, _ in kept], pa.int32()), "cells": pa.array([z for _, z in kept], pa.binary())}
-    columns = {name: columns.get(name, None) for name in schema_names}
-    return [pa.RecordBatch.from_arrays([pa.nulls(len(kept), kind) if c is None else c for c, kind in zip(columns.values(), (_KINDS[n] for n in schema_names))], names=schema_names)] if kept else []
+def unpacked(body) -> np.ndarray:
+    six = np.frombuffer(body, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel()
 
 
-_KINDS = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "block": pa.int32(), "cells": pa.binary()}
+def levels_of(counts: np.ndarray) -> bytes:
+    """Counts on a scale of 16 steps, one to a doubling; two to a byte."""
+    steps = np.minimum(15, np.ceil(np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    return (steps[::2] << 4 | steps[1::2]).tobytes()
 
 
-def _summed(blocks: DataFrame, bits: int, flags: bool) -> np.ndarray:
-    """All partitions' cells added up block by block (a block is of fixed size); as levels, or as flags."""
+def level(held: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return held[cells >> 1] >> np.where(cells & 1, 0, 4).astype(np.uint8) & 15
 
-    def add(pdf_key, tables):
-        total = None
-        for table in tables:
-            for z in table.column(0):
-                one = np.frombuffer(zlib.decompress(z.as_py()), np.uint16).astype(np.uint32)
-                total = one if total is None else total + one
-        out = (total > 0).astype(np.uint8) if flags else level(total)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([pdf_key[0].as_py()], pa.int32()), "cells": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    def merge(table_key, batches):
-        return add(table_key, (pa.Table.from_batches([b]).select(["cells"]) for b in batches))
-
-    out = np.zeros(1 << bits, np.uint8)
-    size = (1 << bits) // BLOCKS
-    for r in _by_block(blocks, merge).toLocalIterator():
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(zlib.decompress(r.cells), np.uint8)
-    return out
-
-
-def _by_block(blocks: DataFrame, merge) -> DataFrame:
-    """Partial cells of a block are merged in two steps, so that no task gets those of all partitions."""
-
-    def once(key, table):
-        (batch,) = list(merge(key, table.to_batches()))
-        return pa.Table.from_batches([batch])
-
-    def partly(key, table):
-        total = None
-        for z in table.column("cells"):
-            one = np.frombuffer(zlib.decompress(z.as_py()), np.uint16).astype(np.uint32)
-            total = one if total is None else total + one
-        capped = np.minimum(total, 65535).astype(np.uint16)
-        return pa.Table.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([zlib.compress(capped.tobytes(), 1)], pa.binary())})
-
-    rows = blocks.select("block", "cells", F.pmod(F.crc32("cells"), F.lit(8)).alias("part"))
-    first = rows.groupBy("block", "part").applyInArrow(partly, "block int, cells binary")
-    return first.groupBy("block").applyInArrow(once, "block int, cells binary")
-
-
-def _cell(h: np.ndarray, bits: int) -> np.ndarray:
-    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def signed(docs: DataFrame, sim: Similarity, bits: int = SKETCH_BITS) -> DataFrame:
+def signed(docs: DataFrame, sim: Similarity) -> DataFrame:
     """doc_id, n and sig of each row, and besides them each partition's part of the sketch, as blocks."""
-    names = list(_KINDS)
+    names = ["doc_id", "n", "sig", "block", "cells"]
 
     def run(parts):
-        shingle, cells = Shingler(sim.words), np.zeros(1 << bits, np.uint32)
+        shingle, seen = Shingler(sim.words), Cells(SKETCH_BITS)
         for part in parts:
             n, sig = [], []
             for text in part.column(1):
                 s = shingle(text.as_py())
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
-                cells[_cell(s, bits)] += 1  # shingles of a set that share a cell count once
-            count = len(n)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())], names=names)
-        yield from _packed(np.minimum(cells, 65535).astype(np.uint16), names, {})
+                seen.add(cell(s, SKETCH_BITS))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+        found = seen.blocks()
+        if found:
+            k = len(found)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in found], pa.int32()), pa.array([z for _, z in found], pa.binary())], names=names)
 
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, block int, cells binary")
 
 
-def prefixed(docs: DataFrame, sim: Similarity, levels, bits: int = SKETCH_BITS) -> DataFrame:
+def prefixed(docs: DataFrame, sim: Similarity, levels) -> DataFrame:
     """Per class its size, prefix (rare-first) and the counts of its set over equal ranges of hashes."""
 
     def run(parts):
         shingle = Shingler(sim.words)
-        order = levels.value
+        order = np.frombuffer(levels.value, np.uint8)
         for part in parts:
             sig, n, prefix, counts = [], [], [], []
             for text in part.column(1):
                 s = shingle(text.as_py())
                 if not len(s):
                     continue
-                rank = np.lexsort((s, order[_cell(s, bits)]))
+                rank = np.argsort(level(order, cell(s, SKETCH_BITS)), kind="stable")  # s is in the order of hashes
                 sig.append(signature(s))
                 n.append(len(s))
                 prefix.append(s[rank[: sim.prefix(len(s))]].view(np.int64))
@@ -205,18 +163,6 @@ def prefixed(docs: DataFrame, sim: Similarity, levels, bits: int = SKETCH_BITS)
     return rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts"))
 
 
-def _flags_of(tokens: DataFrame, bits: int = SHARED_BITS) -> np.ndarray:
-    """A flag per cell in which one of the tokens is."""
-
-    def run(parts):
-        cells = np.zeros(1 << bits, np.uint16)
-        for part in parts:
-            cells[_cell(part.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)] = 1
-        yield from _packed(cells, ["block", "cells"], {})
-
-    return np.packbits(_summed(tokens.mapInArrow(run, "block int, cells binary"), bits, flags=True))
-
-
 def entries(classes: DataFrame) -> DataFrame:
     """token, node, n and pos (shingles of the set before the token) of all prefix shingles that two classes or more have.
 
@@ -224,16 +170,15 @@ def entries(classes: DataFrame) -> DataFrame:
     lets pass is checked against the counts where it is used.
     """
     tokens = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    held = classes.sparkSession.sparkContext.broadcast(_flags_of(tokens).tobytes())  # 2 MB, whatever the corpus
+    held = classes.sparkSession.sparkContext.broadcast(flags(tokens))  # 16 MB, whatever the corpus
 
     def run(parts):
-        flags = np.frombuffer(held.value, np.uint8)
+        shared = np.frombuffer(held.value, np.uint8)
         for part in parts:
             prefix = part.column(2)
             flat = prefix.flatten().to_numpy(zero_copy_only=False)
             lengths = np.diff(prefix.offsets.to_numpy())
-            cell = _cell(flat.view(np.uint64), SHARED_BITS)
-            keep = np.flatnonzero(flags[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+            keep = passes(shared, flat.view(np.uint64))
             owner = np.repeat(np.arange(len(lengths)), lengths)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             at = pa.array(owner[keep])
@@ -283,10 +228,11 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, sim: Similari
         shingle = Shingler(sim.words)
         for part in parts:
             got = [s for s in (shingle(text.as_py()) for text in part.column(1)) if len(s)]
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(map(signature, got), pa.binary()), "body": pa.array([s.tobytes() for s in got], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(map(signature, got), pa.binary()), "body": pa.array([packed(s) for s in got], pa.binary())})
 
-    sets = rows.mapInArrow(run, "sig binary, body binary").join(wanted.select("sig"), "sig", "left_semi")
-    sets = cut(sets.groupBy("sig").agg(F.first("body").alias("body")))
+    sets = rows.mapInArrow(run, "sig binary, body binary")
+    if rows is docs:  # all copies of a class come: one of them is enough
+        sets = cut(sets.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("body").alias("body")))
     left = sets.select(F.col("sig").alias("a_sig"), F.col("body").alias("a_body"))
     right = sets.select(F.col("sig").alias("b_sig"), F.col("body").alias("b_body"))
     both = pairs.join(left, "a_sig").join(right, "b_sig").select("a", "b", "a_body", "b_body")
@@ -295,7 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, sim: Similari
         for part in parts:
             keep = []
             for x, y in zip(part.column(2), part.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 common = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(sim.den * common >= sim.num * (len(x) + len(y) - common))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -349,7 +295,8 @@ def groups(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: s
     rows = texts(docs, id_col, text_col)
     pass1 = cut(signed(rows, sim))
     told = pass1.where("block IS NULL").select("doc_id", "n", "sig")
-    levels = spark.sparkContext.broadcast(_summed(pass1.where("block IS NOT NULL").select("block", "cells"), SKETCH_BITS, flags=False))  # 4 MB, whatever the corpus
+    sketch = gathered(pass1.where("block IS NOT NULL").select("block", "cells"), SKETCH_BITS, levels_of)
+    levels = spark.sparkContext.broadcast(in_order(sketch, SKETCH_BITS, 1 << (BLOCK_BITS - 1)))  # 16 MB, whatever the corpus
     owners = cut(told.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
     classes = cut(prefixed(rows, sim, levels)).withColumn("node", F.monotonically_increasing_id())
     parts = cut(connected_components(links(rows, classes, owners, sim)))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import cut
-from parchmint.llm.jaccard import SHARED_BITS, _cell, _flags_of
+from parchmint.llm.sketch import flags, passes
 
 LENGTH = 200
 GRAM = 32
@@ -199,26 +199,25 @@ def _hashes(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("raw").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def _occurrences(rows: DataFrame, flags, length: int) -> DataFrame:
+def _occurrences(rows: DataFrame, held, length: int) -> DataFrame:
     """Each run whose hash the filter of shared hashes lets pass: its hash, a digest of its bytes, where it is."""
     names = ["h", "p1", "p2", "k1", "k2", "s", "c", "again"]
 
     def run(parts):
-        shared = np.frombuffer(flags.value, np.uint8)
+        shared = np.frombuffer(held.value, np.uint8)
         for part in parts:
             out = [[] for _ in names]
             for raw, k1, k2 in zip(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist()):
                 raw = raw.as_buffer().to_pybytes()
                 h, start, count, again = runs(raw, length)
-                cell = _cell(h, SHARED_BITS)
-                keep = np.flatnonzero(shared[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+                keep = passes(shared, h)
                 if not len(keep):
                     continue
                 digests = b"".join(xxhash.xxh3_128_digest(raw[s : s + c + length - 1]) for s, c in zip(start[keep].tolist(), count[keep].tolist()))
                 p = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 same = np.ones(len(keep), np.int64)
-                for held, column in zip(out, (h[keep].view(np.int64), p[:, 0], p[:, 1], same * k1, same * k2, start[keep], count[keep], again[keep])):
-                    held.append(column)
+                for into, column in zip(out, (h[keep].view(np.int64), p[:, 0], p[:, 1], same * k1, same * k2, start[keep], count[keep], again[keep])):
+                    into.append(column)
             if out[0]:
                 arrays = [np.concatenate(x) for x in out]
                 arrays[5], arrays[6] = arrays[5].astype(np.int64), arrays[6].astype(np.int32)
@@ -307,8 +306,8 @@ def _merged(found: DataFrame) -> DataFrame:
 
 def spans(rows: DataFrame, length: int) -> DataFrame:
     """Per key (k1, k2) the merged byte ranges to remove, as packed 64-bit pairs."""
-    flags = rows.sparkSession.sparkContext.broadcast(_flags_of(_hashes(rows, length)).tobytes())  # 2 MB, whatever the corpus
-    seen = cut(_occurrences(rows, flags, length))
+    shared = rows.sparkSession.sparkContext.broadcast(flags(_hashes(rows, length)))  # 16 MB, whatever the corpus
+    seen = cut(_occurrences(rows, shared, length))
     pieces = cut(seen.groupBy("h", "p1", "p2").agg(F.count("*").alias("n"), F.max("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "s")).alias("at")))
     hashes = pieces.groupBy("h").agg(F.count("*").alias("different"), F.min("n").alias("least"), F.max("again").alias("any_again"), F.sum(F.col("c") + length).alias("bytes"))
     hashes = cut(hashes.where("least = 1 AND (different > 1 OR any_again)"))
