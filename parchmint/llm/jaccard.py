@@ -75,7 +75,7 @@ class Shingler:
         if not parts:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         hashes = []
         for w in parts:

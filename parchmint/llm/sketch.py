@@ -46,29 +46,31 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Cells:
-    """The cells that a partition sees. What it holds is merged whenever it has grown by a few million entries."""
+    """The cells that a partition sees, packed whenever another PACK entries have come."""
+
+    PACK = 1_000_000
 
     def __init__(self, bits: int):
-        self.bits, self.new, self.held = bits, [], 0
-        self.cells, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bits, self.new, self.held, self.packed = bits, [], 0, []
 
     def add(self, cells: np.ndarray) -> None:
         self.new.append(cells.astype(np.uint32))
         self.held += len(cells)
-        if self.held > 4_000_000:
-            self._merge()
-
-    def _merge(self) -> None:
-        fresh, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *self.new]), return_counts=True)
-        both = np.concatenate((self.cells, fresh.astype(np.int64)))
-        self.cells, at = np.unique(both, return_inverse=True)
-        self.counts = np.bincount(at, np.concatenate((self.counts, counts)), len(self.cells)).astype(np.int64)
+        if self.held > self.PACK:
+            self._pack()
+
+    def _pack(self) -> None:
+        if not self.held:
+            return
+        cells, counts = np.unique(np.concatenate(self.new), return_counts=True)
+        edges = np.searchsorted(cells, np.arange(0, (1 << self.bits) + 1, 1 << BLOCK_BITS))
+        self.packed += [(k, _pack(cells[a:b].astype(np.int64) - (k << BLOCK_BITS), counts[a:b])) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
         self.new, self.held = [], 0
 
     def blocks(self) -> list[tuple[int, bytes]]:
-        self._merge()
-        edges = np.searchsorted(self.cells, np.arange(0, (1 << self.bits) + 1, 1 << BLOCK_BITS))
-        return [(k, _pack(self.cells[a:b] - (k << BLOCK_BITS), self.counts[a:b])) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+        """All packed blocks; a block may come several times."""
+        self._pack()
+        return self.packed
 
 
 def gathered(blocks: DataFrame, bits: int, finish) -> dict[int, bytes]:
