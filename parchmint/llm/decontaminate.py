@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import batches, texts
+from parchmint.llm.common import batches, cut, texts
 
 #: Bytes that words are made of stay, A-Z become a-z, all others become spaces.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -160,18 +160,20 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
     n = max(1, -(-total // block_chars))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield spark.sparkContext.broadcast([(r.item, r.text) for r in part.toLocalIterator()]), n
+        rows = [(r.item, r.text) for r in part.toLocalIterator()]
+        yield spark.sparkContext.broadcast((hashlib.sha256(repr(rows).encode("utf-8", "surrogatepass")).hexdigest(), rows)), n
 
 
 _held: dict = {}
 
 
 def _index(held, size: int) -> Index:
-    key = (held.id if hasattr(held, "id") else id(held), size)
-    if key not in _held:
+    """The index of a block of items, built once in each worker and kept until another is asked for."""
+    name, items = held.value
+    if (name, size) not in _held:
         _held.clear()
-        _held[key] = Index(held.value, size)
-    return _held[key]
+        _held[name, size] = Index(items, size)
+    return _held[name, size]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -182,7 +184,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     columns are left out. An empty benchmark hits nothing.
 
     A benchmark of up to block_chars characters is one broadcast and one narrow pass. A larger one is searched block
-    by block; each pass then gives a bit for each word, and the bits are joined per row.
+    by block; each pass then gives a bit for each word, and the bits are joined per row. For that the rows are written
+    once to the shared folder, so that all passes number them alike.
     """
     rows = texts(docs, id_col, text_col)
     blocks = list(_blocks(benchmark, item_col, item_text_col, block_chars))
@@ -198,7 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
         return rows.mapInArrow(run, SCHEMA)
 
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
     passes = None
     for held, _ in blocks:
 
