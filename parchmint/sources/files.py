@@ -123,10 +123,24 @@ METADATA = "file_type string, encoding string, file_size long, line_count int, c
 _FACTS = [f.split()[0] for f in METADATA.split(", ")]
 
 
-def read_files(spark: SparkSession, path: str | list[str], readers: Readers | None = None) -> DataFrame:
+def empty_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Files without a byte under the paths (which may be folders or patterns): Spark's file sources pass them over."""
+    out = []
+    for one in [path] if isinstance(path, str) else path:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(one)
+        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.globStatus(hadoop) or []:
+            for found in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+                if found.isFile() and not found.getLen():
+                    out.append(found.getPath().toString())
+    return out
+
+
+def read_files(spark: SparkSession, path: str | list[str], readers: Readers | None = None, report_empty: bool = True) -> DataFrame:
     """path, ext, text, metadata, error of each file. Empty files and failures have an error and no text.
 
-    A path that doesn't exist raises when it is read, as with any source.
+    A path that doesn't exist raises when it is read, as with any source. report_empty lists the folders on the driver
+    to find empty files; without it they are passed over.
     """
     held = (readers or Readers()).found
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
@@ -150,8 +164,15 @@ def read_files(spark: SparkSession, path: str | list[str], readers: Readers | No
                 out.append((name, ext, text, facts, error))
             yield pd.DataFrame(out, columns=["path", "ext", "text", "metadata", "error"])
 
-    rows = files.mapInPandas(run, f"path string, ext string, text string, metadata struct<{METADATA.replace(' ', ':').replace(',:', ',')}>, error string")
-    return rows.withColumn("text", F.when(F.col("ext") == ".pdf", repair_symbols(F.col("text"))).otherwise(F.col("text")))
+    kind = f"struct<{METADATA.replace(' ', ':').replace(',:', ',')}>"
+    rows = files.mapInPandas(run, f"path string, ext string, text string, metadata {kind}, error string")
+    rows = rows.withColumn("text", F.when(F.col("ext") == ".pdf", repair_symbols(F.col("text"))).otherwise(F.col("text")))
+    empty = [(p, os.path.splitext(p)[1].lower(), "ValueError: the file is empty") for p in (empty_files(spark, path) if report_empty else [])]
+    if not empty:
+        return rows
+    none = spark.createDataFrame(empty, "path string, ext string, error string")
+    facts = F.from_json(F.to_json(F.struct(F.ltrim(F.col("ext"), F.lit(".")).alias("file_type"), F.lit(0).alias("file_size"))), kind)
+    return rows.unionByName(none.select("path", "ext", F.lit(None).cast("string").alias("text"), facts.alias("metadata"), "error"))
 
 
 def load_file(spark: SparkSession, path: str) -> tuple[str, dict]:
