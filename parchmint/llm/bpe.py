@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.llm.common import texts
+from parchmint.llm.common import batches, texts
 
 #: A text longer than this is split before it is encoded.
 LONG = 1 << 16
@@ -67,10 +67,10 @@ def rank_bytes(path: str) -> bytes:
 def _mapped(df: DataFrame, rank_path: str, pattern: str, schema: str, row) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(rank_bytes(rank_path))  # one rank file, under 1 MB
 
-    def run(batches):
+    def run(parts):
         enc = encoder(held.value, pattern)
-        for batch in batches:
-            yield row(enc, batch)
+        for batch in parts:
+            yield from row(enc, batch)
 
     return df.mapInArrow(run, schema)
 
@@ -91,11 +91,11 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
             a.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
             b.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
             if with_ids:
-                ids_out.append(ids)
+                ids_out.append(np.array(ids, dtype=np.int32))
         columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
         if with_ids:
             columns["token_ids"] = pa.array(ids_out, pa.list_(pa.int32()))
-        return pa.RecordBatch.from_pydict(columns)
+        yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return _mapped(texts(docs, id_col, text_col), rank_path, pattern, schema, row)
@@ -110,10 +110,12 @@ def add_token_ids(docs: DataFrame, rank_path: str, pattern: str, text_col: str =
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in kept)
 
     def row(enc, batch):
-        ids = [encode(enc, text.as_py() or "") for text in batch.column(len(kept))]
-        arrays = [batch.column(i) for i in range(len(kept))]
-        arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=[*kept, ids_col, count_col])
+        for a, b in batches(batch.column(len(kept))):  # ids of a few texts at a time: as Python numbers they are large
+            part = batch.slice(a, b - a)
+            ids = [np.array(encode(enc, text.as_py() or ""), dtype=np.int32) for text in part.column(len(kept))]
+            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), lists, pa.array(sizes)], names=[*kept, ids_col, count_col])
 
     return _mapped(docs.select(*[f"`{c}`" for c in kept], f"`{text_col}`"), rank_path, pattern, f"{schema}`{ids_col}` array<int>, `{count_col}` long", row)
 
@@ -123,7 +125,7 @@ def decode_ids(frame: DataFrame, rank_path: str, pattern: str, ids_col: str = "t
 
     def row(enc, batch):
         raw = [enc.decode_bytes(ids.as_py() or []) for ids in batch.column(1)]
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "decoded": pa.array(raw, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "decoded": pa.array(raw, pa.binary())})
 
     return _mapped(frame.select(f"`{id_col}`", f"`{ids_col}`"), rank_path, pattern, "doc_id long, decoded binary", row)
 
