@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from parchmint.llm import sql
 from parchmint.llm.common import read
 
 
@@ -78,4 +79,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_warc": sql.WARC, "op4_secrets": sql.SECRETS, "op10_decontamination": sql.DECONTAMINATION}
