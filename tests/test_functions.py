@@ -116,3 +116,14 @@ def test_extractors_can_be_added_and_removed(spark):
     df = FO.extract_formulas(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
     row = df.select(*found.columns(F.col("text"), F.col("formulas"))).first()
     assert row["length"].n == 9 and set(row.asDict()) == {"FormulaDetector", "TextStats", "length"}
+
+
+def test_encoder_works_in_batches(spark):
+    from parchmint.functions.encoder import encoder
+
+    def load():
+        return lambda values: [[len(v), len(values)] for v in values]
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(5)], "i int, t string").coalesce(1)
+    got = [list(r.e) for r in df.select("i", encoder(load, 2)(F.col("t")).alias("e")).orderBy("i").collect()]
+    assert got == [[0, 2], [1, 2], [2, 2], [3, 2], [4, 1]]
