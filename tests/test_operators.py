@@ -50,14 +50,14 @@ def test_semantic_split_matches_a_plain_loop(spark):
     mixed: dict = {}
     for r in P.split_mixed(docs(spark, *texts), P.SplitterConfig(paragraph_separator="\n", semantic_threshold=0.6, max_chunk_size=150)).collect():
         mixed[r.doc_id] = mixed.get(r.doc_id, 0) + 1
-    assert sum(mixed.values()) > 0
+    assert set(mixed) == set(range(20))
 
 
 def test_fixed_size(spark):
     text = "a" * 120 + ". " + "b" * 60 + "! " + "c" * 30
     config = P.SplitterConfig(min_chunk_size=50, max_chunk_size=100)
     rows = P.split_fixed(docs(spark, text), config).orderBy("chunk_no").collect()
-    assert [(r.start_pos, r.end_pos) for r in rows] == [(0, 121), (121, 215)][: len(rows)] or rows
+    assert [(r.start_pos, r.end_pos) for r in rows] == [(0, 121), (121, 214)]
     assert rows[0].text == "a" * 120 + "." and all(len(r.text) >= 50 for r in rows)
     kept = P.split_fixed(docs(spark, "x" * 130), P.SplitterConfig(min_chunk_size=50, max_chunk_size=100, keep_tail=True)).count()
     assert kept == 2 and P.split_fixed(docs(spark, "x" * 130), config).count() == 1 and P.split_fixed(docs(spark, ""), config).count() == 0
