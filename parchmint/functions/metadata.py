@@ -113,8 +113,7 @@ def main_topic(c: Column, inherited: Column | None = None, use_first_sentence: b
 def keyword_words(c: Column) -> Column:
     """The words that can be keywords: no stop words, of three letters and more; all such words where none is left."""
     found = F.filter(words(clean_for_analysis(c)), lambda w: F.length(w) > 2)
-    stop = F.array(*map(F.lit, STOP_WORDS_RU + STOP_WORDS_EN))
-    kept = F.filter(found, lambda w: ~F.array_contains(stop, w))
+    kept = F.filter(found, lambda w: ~w.isin(STOP_WORDS_RU + STOP_WORDS_EN))  # planned as a look-up in a hash set
     return F.when(F.size(kept) > 0, kept).otherwise(found)
 
 
