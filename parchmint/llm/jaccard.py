@@ -9,8 +9,9 @@ A document is the set of its word shingles (as 64-bit hashes). Documents with eq
    bucket is expanded into pairs. Each member is first paired with the bucket's pivot, the member with the fewest
    rarer shingles (in a group of near copies the one nearest to the common origin). Pairs that pass the filters are
    verified on the whole sets, and verified links give components.
-4. What is left are pairs in a bucket of which neither is its pivot and whose components differ. All of these are
-   filtered and verified too, in blocks of bounded size, so no link that could join two components is lost.
+4. What is left are pairs in a bucket of which neither is its pivot and whose components differ. They are filtered in
+   blocks of bounded size and all that pass are verified, so no link that could join two components is lost. Where
+   very many are left, each class's nearest in every other component is verified first, which joins most of them.
 
 Buckets are split, joined and counted by shuffles that Spark can split further; nothing of the size of a bucket meets
 in one task.
@@ -36,8 +37,12 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SKETCH_BITS = 25
 #: Ranges of the order by hash over which the suffix filter counts.
 RANGES = 32
+#: Longs of the parity bitmap of a set.
+PARITY = 16
 #: Ids that are broadcast at most to read only the texts that a verification needs; beyond, all are read.
 BROADCAST_IDS = 1_000_000
+#: Pairs between components from which on the nearest are verified first.
+NEAREST_FIRST = 200_000
 #: Bucket members in a block, and members outside the pivot's component in a block.
 BLOCK, OUTSIDERS = 512, 4096
 
@@ -141,13 +146,16 @@ def signed(docs: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def prefixed(docs: DataFrame, sim: Similarity, levels) -> DataFrame:
-    """Per class its size, prefix (rare-first) and the counts of its set over equal ranges of hashes."""
+    """Per class its size, prefix (rare-first), the counts of its set over equal ranges of hashes, and its parity bitmap.
+
+    In the bitmap each shingle flips a bit; two sets differ in at least as many shingles as their bitmaps in bits.
+    """
 
     def run(parts):
         shingle = Shingler(sim.words)
         order = np.frombuffer(levels.value, np.uint8)
         for part in parts:
-            sig, n, prefix, counts = [], [], [], []
+            sig, n, prefix, counts, parity = [], [], [], [], []
             for text in part.column(1):
                 s = shingle(text.as_py())
                 if not len(s):
@@ -156,11 +164,13 @@ def prefixed(docs: DataFrame, sim: Similarity, levels) -> DataFrame:
                 sig.append(signature(s))
                 n.append(len(s))
                 prefix.append(s[rank[: sim.prefix(len(s))]].view(np.int64))
+                odd = (np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)
+                parity.append(np.packbits(odd).view(np.int64))
                 counts.append(np.bincount((s >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES).astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(sig, pa.binary()), "n": pa.array(n, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "counts": pa.array(counts, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(sig, pa.binary()), "n": pa.array(n, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "counts": pa.array(counts, pa.list_(pa.int32())), "parity": pa.array(parity, pa.list_(pa.int64()))})
 
-    rows = docs.mapInArrow(run, "sig binary, n long, prefix array<long>, counts array<int>")
-    return rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts"))
+    rows = docs.mapInArrow(run, "sig binary, n long, prefix array<long>, counts array<int>, parity array<long>")
+    return rows.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "counts", "parity")])
 
 
 def entries(classes: DataFrame) -> DataFrame:
@@ -253,35 +263,53 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, owners: DataFrame, sim: Similarity) -> DataFrame:
-    """Verified links (a, b) between classes, enough of them to connect all classes that links connect."""
-    shared = cut(entries(classes))
-    buckets = shared.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("pos", "node", "n")).alias("p")).where("m > 1")
-    buckets = cut(buckets.select("token", "m", F.col("p.pos").alias("p_pos"), F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n")))
-    star = shared.join(buckets, "token").where(f"node <> p_node AND {_close(sim)}")
-    first = cut(_ordered(star.select(F.col("node").alias("x"), F.col("p_node").alias("y"))))
-    edges = cut(verified(cut(suffix_filtered(first, classes, sim)), docs, owners, sim))
-    parts = cut(connected_components(edges))
+def _rest(shared: DataFrame, buckets: DataFrame, parts: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (x, y) in a bucket of which neither is its pivot, in different components (of y: yc), that pass the filters.
 
-    # pairs of which neither is the pivot, in different components: members outside the pivot's component, with all others
+    One of them is outside the pivot's component: only such members are paired with others, in blocks. The bitmaps are
+    compared right in the join (apart: bits in which they differ), so that few pairs come out of it.
+    """
     named = shared.join(buckets.where("m > 2").select("token", "m", "p_node"), "token").join(parts, "node", "left")
     named = named.select("token", "node", "n", "pos", "m", "p_node", F.coalesce("component", "node").alias("component"))
     named = named.join(parts.select(F.col("node").alias("p_node"), F.col("component").alias("p_component")), "p_node", "left")
     named = cut(named.withColumn("outside", F.col("component") != F.coalesce("p_component", "p_node")).drop("p_component"))
     spread = cut(named.groupBy("token").agg(F.sum(F.col("outside").cast("long")).alias("out")).where("out > 0"))
-    named = named.where("node <> p_node").join(spread, "token")
+    named = named.where("node <> p_node").drop("p_node").join(spread, "token").join(classes.select("node", "parity"), "node")
     spot = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("m") / BLOCK).cast("long"))
     other = F.pmod(F.xxhash64("node", F.lit(6)), F.ceil(F.col("out") / OUTSIDERS).cast("long"))
     members = named.withColumn("block", spot).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("out") / OUTSIDERS).cast("long") - 1)))
     outside = named.where("outside").withColumn("group", other).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / BLOCK).cast("long") - 1)))
-    outside = outside.select("token", "block", "group", *[F.col(c).alias(f"p_{c}") for c in ("n", "pos", "component")], F.col("node").alias("p_node"))
-    rest = members.drop("p_node").join(outside, ["token", "block", "group"])
-    rest = rest.where(f"component <> p_component AND (NOT outside OR node < p_node) AND {_close(sim)}")
-    second = _ordered(rest.select(F.col("node").alias("x"), F.col("p_node").alias("y"))).join(first, ["a", "b"], "left_anti")
-    second = cut(suffix_filtered(second, classes, sim))
-    if second.isEmpty():
-        return edges
-    return edges.unionAll(verified(second, docs, owners, sim))
+    outside = outside.select("token", "block", "group", *[F.col(c).alias(f"p_{c}") for c in ("n", "pos", "component", "node", "parity")])
+    apart = " + ".join(f"bit_count(parity[{k}] ^ p_parity[{k}])" for k in range(PARITY))
+    most = f"n + p_n - 2 * {sim.sql_overlap('n', 'p_n')}"
+    rest = members.join(outside, ["token", "block", "group"]).where(f"component <> p_component AND (NOT outside OR node < p_node) AND {_close(sim)} AND {apart} <= {most}")
+    return rest.select(F.col("p_node").alias("x"), F.col("node").alias("y"), F.col("component").alias("yc"), F.expr(apart).alias("apart"))
+
+
+def links(docs: DataFrame, classes: DataFrame, owners: DataFrame, sim: Similarity) -> DataFrame:
+    """Verified links (a, b) between classes, enough of them to connect all classes that links connect.
+
+    First the pairs with pivots; then all pairs that are left between components. Where these are very many, the pair
+    that differs least goes first, for each class and each other component in its buckets, since it mostly joins the two.
+    """
+    shared = cut(entries(classes))
+    buckets = shared.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("pos", "node", "n")).alias("p")).where("m > 1")
+    buckets = cut(buckets.select("token", "m", F.col("p.pos").alias("p_pos"), F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n")))
+    star = shared.join(buckets, "token").where(f"node <> p_node AND {_close(sim)}")
+    done = cut(_ordered(star.select(F.col("node").alias("x"), F.col("p_node").alias("y"))))
+    edges = cut(verified(cut(suffix_filtered(done, classes, sim)), docs, owners, sim))
+    rest = _rest(shared, buckets, cut(connected_components(edges)), classes, sim)
+    if rest.count() > NEAREST_FIRST:
+        # distance and node packed in one number, the least of which is the nearest; a node that doesn't fit is left to the last round
+        low = F.lit((1 << 51) - 1)
+        packed_pair = F.shiftleft(F.col("apart").cast("long"), 51).bitwiseOR(F.col("y").bitwiseAND(low))
+        nearest = rest.groupBy("x", "yc").agg(F.min(packed_pair).alias("least")).select("x", F.col("least").bitwiseAND(low).alias("y"))
+        pairs = cut(_ordered(nearest).join(done, ["a", "b"], "left_anti"))
+        edges = cut(edges.unionAll(verified(cut(suffix_filtered(pairs, classes, sim)), docs, owners, sim)))
+        done = done.unionAll(pairs)
+        rest = _rest(shared, buckets, cut(connected_components(edges)), classes, sim)
+    pairs = cut(suffix_filtered(_ordered(rest.select("x", "y")).join(done, ["a", "b"], "left_anti"), classes, sim))
+    return edges if pairs.isEmpty() else edges.unionAll(verified(pairs, docs, owners, sim))
 
 
 def groups(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -92,7 +92,7 @@ def test_jaccard_groups_match_brute_force(docs, rows, words, num, den):
 
 
 def test_jaccard_in_blocks_and_by_shuffles(monkeypatch, docs, rows):
-    for name, value in (("BLOCK", 2), ("OUTSIDERS", 2), ("BROADCAST_IDS", 0)):
+    for name, value in (("BLOCK", 2), ("OUTSIDERS", 2), ("BROADCAST_IDS", 0), ("NEAREST_FIRST", -1)):
         monkeypatch.setattr(jaccard, name, value)
     got = sorted(map(tuple, jaccard.groups(docs, jaccard.Similarity(3, 90, 100)).collect()), key=repr)
     assert got == sorted(brute_groups(rows, 3, 90, 100), key=repr)
