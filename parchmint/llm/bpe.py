@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.llm.common import batches, texts
+from parchmint.llm.common import batches, texts, tidied
 
 #: A text longer than this is split before it is encoded.
 LONG = 1 << 16
@@ -72,7 +72,7 @@ def _mapped(df: DataFrame, rank_path: str, pattern: str, schema: str, row) -> Da
         for batch in parts:
             yield from row(enc, batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import batches, held_out, texts
+from parchmint.llm.common import batches, held_out, texts, tidied
 
 BITS = 18
 GRAMS = (3, 4, 5)
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).slice(a, b - a), "label": part.column(1).slice(a, b - a), "buckets": pa.array([x.astype("<i4").tobytes() for x, _ in got], pa.binary()), "counts": pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in got], pa.binary())})
 
     found = {}
-    for r in rows.mapInArrow(run, "doc_id long, label int, buckets binary, counts binary").toLocalIterator():
+    for r in rows.mapInArrow(tidied(run), "doc_id long, label int, buckets binary, counts binary").toLocalIterator():
         found.setdefault(r.doc_id, (np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u2"), r.label))
     return train([found[k] for k in sorted(found)])
 
@@ -156,7 +156,7 @@ def score_documents(docs: DataFrame, table: np.ndarray, threshold: float = THRES
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).slice(a, b - a), "held_out": part.column(1).slice(a, b - a), "score": pa.array(got, pa.float64()), "predicted": pa.array((got >= threshold).astype(np.int32), pa.int32())})
 
     rows = texts(docs, id_col, text_col).select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import batches, cut, texts
+from parchmint.llm.common import batches, cut, texts, tidied
 
 #: Bytes that words are made of stay, A-Z become a-z, all others become spaces.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -199,7 +199,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
                     got = scan(index, part.column(1).slice(a, b - a).to_pylist())
                     yield _record(part.column(0).slice(a, b - a), [g[0] for g in got], [0 if g[1] is None else int(g[1].sum()) for g in got], [g[2] for g in got])
 
-        return rows.mapInArrow(run, SCHEMA)
+        return rows.mapInArrow(tidied(run), SCHEMA)
 
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
     passes = None
@@ -213,7 +213,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
                     bits = [None if g[1] is None else np.packbits(g[1]).tobytes() for g in got]
                     yield pa.RecordBatch.from_pydict({"rid": part.column(2).slice(a, b - a), "doc_id": part.column(0).slice(a, b - a), "n_words": pa.array([g[0] for g in got], pa.int64()), "bits": pa.array(bits, pa.binary()), "items": pa.array([sorted(g[2]) for g in got], pa.list_(pa.string()))})
 
-        one = rows.mapInArrow(flagged, "rid long, doc_id long, n_words long, bits binary, items array<string>")
+        one = rows.mapInArrow(tidied(flagged), "rid long, doc_id long, n_words long, bits binary, items array<string>")
         passes = one if passes is None else passes.unionAll(one)
     joined = passes.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("bits").alias("bits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
@@ -227,7 +227,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
                 hits.append(int(np.unpackbits(flags)[:n].sum()))
             yield _record(part.column(0), part.column(1), hits, [set(x) for x in part.column(3).to_pylist()])
 
-    return joined.select("doc_id", "n_words", "bits", "items").mapInArrow(merged, SCHEMA)
+    return joined.select("doc_id", "n_words", "bits", "items").mapInArrow(tidied(merged), SCHEMA)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -242,7 +242,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col:
                     piece = part.slice(a, b - a)
                     yield piece.filter(pa.array([hit is None for _, hit, _ in scan(index, piece.column(at).to_pylist())], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs
 
 

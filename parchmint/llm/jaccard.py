@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut, mix, texts
+from parchmint.llm.common import cut, mix, texts, tidied
 from parchmint.llm.components import connected_components
 from parchmint.llm.sketch import BLOCK_BITS, Cells, cell, flags, gathered, in_order, passes
 
@@ -142,7 +142,7 @@ def signed(docs: DataFrame, sim: Similarity) -> DataFrame:
             k = len(found)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in found], pa.int32()), pa.array([z for _, z in found], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, block int, cells binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, n long, sig binary, block int, cells binary")
 
 
 def prefixed(docs: DataFrame, sim: Similarity, levels) -> DataFrame:
@@ -169,7 +169,7 @@ def prefixed(docs: DataFrame, sim: Similarity, levels) -> DataFrame:
                 counts.append(np.bincount((s >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES).astype(np.int32))
             yield pa.RecordBatch.from_pydict({"sig": pa.array(sig, pa.binary()), "n": pa.array(n, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "counts": pa.array(counts, pa.list_(pa.int32())), "parity": pa.array(parity, pa.list_(pa.int64()))})
 
-    rows = docs.mapInArrow(run, "sig binary, n long, prefix array<long>, counts array<int>, parity array<long>")
+    rows = docs.mapInArrow(tidied(run), "sig binary, n long, prefix array<long>, counts array<int>, parity array<long>")
     return rows.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "counts", "parity")])
 
 
@@ -194,7 +194,7 @@ def entries(classes: DataFrame) -> DataFrame:
             at = pa.array(owner[keep])
             yield pa.RecordBatch.from_pydict({"token": pa.array(flat[keep]), "node": part.column(0).take(at), "n": part.column(1).take(at), "pos": pa.array(pos[keep].astype(np.int32))})
 
-    return classes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n long, pos int")
+    return classes.select("node", "n", "prefix").mapInArrow(tidied(run), "token long, node long, n long, pos int")
 
 
 def _close(sim: Similarity, a: str = "", b: str = "p_") -> str:
@@ -240,7 +240,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, sim: Similari
             got = [s for s in (shingle(text.as_py()) for text in part.column(1)) if len(s)]
             yield pa.RecordBatch.from_pydict({"sig": pa.array(map(signature, got), pa.binary()), "body": pa.array([packed(s) for s in got], pa.binary())})
 
-    sets = rows.mapInArrow(run, "sig binary, body binary")
+    sets = rows.mapInArrow(tidied(run), "sig binary, body binary")
     if rows is docs:  # all copies of a class come: one of them is enough
         sets = cut(sets.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("body").alias("body")))
     left = sets.select(F.col("sig").alias("a_sig"), F.col("body").alias("a_body"))
@@ -256,7 +256,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, sim: Similari
                 keep.append(sim.den * common >= sim.num * (len(x) + len(y) - common))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(tidied(compare), "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import batches, held_out, texts
+from parchmint.llm.common import batches, held_out, texts, tidied
 
 HIDDEN = 8
 SEGMENT = 128
@@ -235,7 +235,7 @@ def identify(docs: DataFrame, languages: list[str], p: dict, id_col: str = "doc_
                 best = prob.argmax(axis=1)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).slice(a, b - a), "held_out": part.column(1).slice(a, b - a), "lang_pred": pa.array([names[i] if k else UNKNOWN for i, k in zip(best.tolist(), known)], pa.string()), "score": pa.array([min(1.0, float(q[i])) if k else 0.0 for q, i, k in zip(prob, best.tolist(), known)], pa.float64())})
 
-    return texts(docs, id_col, text_col).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
+    return texts(docs, id_col, text_col).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(tidied(rows), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op6(docs: DataFrame) -> DataFrame:

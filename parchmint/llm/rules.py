@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut, texts
+from parchmint.llm.common import cut, texts, tidied
 
 SYMBOLS = b"#*$%&|<>"
 RUNS = re.compile(rb"[#*$%&|<>]+")
@@ -178,7 +178,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for part in parts:
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0)} | _arrays(part.column(1)))
 
-    return texts(docs, id_col, text_col).mapInArrow(run, MEASURES)
+    return texts(docs, id_col, text_col).mapInArrow(tidied(run), MEASURES)
 
 
 def model_of(rows: DataFrame) -> Model:
@@ -229,7 +229,7 @@ def keep_documents(docs: DataFrame, threshold: float = 0.5, text_col: str = "tex
                 keep.append(n >= 20 and 100 * repeat <= 30 * n and posterior.get(vote(values), 0.0) >= threshold)
             yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchmint.llm.common import tidied
+
 #: Cells in a block, as a power of two.
 BLOCK_BITS = 19
 #: Partial blocks that are added up in one task at first.
@@ -120,7 +122,7 @@ def flags(hashes: DataFrame) -> bytes:
         if found:
             yield pa.RecordBatch.from_pydict({"block": pa.array([k for k, _ in found], pa.int32()), "cells": pa.array([z for _, z in found], pa.binary())})
 
-    blocks = hashes.mapInArrow(run, "block int, cells binary")
+    blocks = hashes.mapInArrow(tidied(run), "block int, cells binary")
     return in_order(gathered(blocks, FLAG_BITS, lambda n: np.packbits(n > 0).tobytes()), FLAG_BITS, 1 << (BLOCK_BITS - 3))
 
 

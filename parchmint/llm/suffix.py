@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut
+from parchmint.llm.common import cut, tidied
 from parchmint.llm.sketch import flags, passes
 
 LENGTH = 200
@@ -196,7 +196,7 @@ def _hashes(rows: DataFrame, length: int) -> DataFrame:
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    return rows.select("raw").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    return rows.select("raw").mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
 def _occurrences(rows: DataFrame, held, length: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _occurrences(rows: DataFrame, held, length: int) -> DataFrame:
                 arrays[5], arrays[6] = arrays[5].astype(np.int64), arrays[6].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], names=names)
 
-    return rows.select("raw", "k1", "k2").mapInArrow(run, "h long, p1 long, p2 long, k1 long, k2 long, s long, c int, again boolean")
+    return rows.select("raw", "k1", "k2").mapInArrow(tidied(run), "h long, p1 long, p2 long, k1 long, k2 long, s long, c int, again boolean")
 
 
 def _with_text(needed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _with_text(needed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     both = texts.join(places, ["k1", "k2"]).select("raw", "runs")
-    return both.mapInArrow(run, "h long, p1 long, p2 long, n long, c int, sub long, shard long, body binary")
+    return both.mapInArrow(tidied(run), "h long, p1 long, p2 long, n long, c int, sub long, shard long, body binary")
 
 
 FOUND = "h long, p1 long, p2 long, a int, b int, f1 long, f2 long, sub long"
@@ -336,7 +336,7 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
                 out.append(np.array(merged, "<i8").tobytes())
             yield pa.RecordBatch.from_pydict({"k1": part.column(0), "k2": part.column(1), "spans": pa.array(out, pa.binary())})
 
-    return grouped.mapInArrow(run, "k1 long, k2 long, spans binary")
+    return grouped.mapInArrow(tidied(run), "k1 long, k2 long, spans binary")
 
 
 def removed(raw: bytes, packed: bytes | None) -> tuple[bytes, int, int]:
@@ -373,7 +373,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
                 columns["kept"] = pa.array([k[1] for k in kept], pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return joined.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def op3(docs: DataFrame) -> DataFrame:

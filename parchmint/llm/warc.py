@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut, shared_folder
+from parchmint.llm.common import cut, shared_folder, tidied
 
 SEGMENT = 16 << 10
 CHUNK = 4 << 10
@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment: i
                 out += response(name, page, url, payload, segment) if refers_to is None else [revisit(name, page, url, payload, refers_to)]
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
 
-    records = roles(pages, min_bytes, **columns).mapInArrow(build, "value binary")
+    records = roles(pages, min_bytes, **columns).mapInArrow(tidied(build), "value binary")
     records.select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(folder)
 
 
@@ -183,7 +183,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "page_id", "type", "refers_to", "payload_digest", "seg", "total", "block"])
 
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(read, READ)
+    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(tidied(read), READ)
 
 
 def assembled(segments: list[dict]) -> tuple[bytes, bool]:
@@ -235,7 +235,7 @@ def reassemble(records: DataFrame, with_payload: bool = False) -> DataFrame:
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact", "payload"]
             yield pa.RecordBatch.from_arrays(arrays[: 6 + with_payload], names=names[: 6 + with_payload])
 
-    return grouped.select("page_id", "type", "refers_to", "payload_digest", "segments").mapInArrow(run, ASSEMBLED + ", payload binary" * with_payload)
+    return grouped.select("page_id", "type", "refers_to", "payload_digest", "segments").mapInArrow(tidied(run), ASSEMBLED + ", payload binary" * with_payload)
 
 
 def delete(spark: SparkSession, folder: str) -> None:
