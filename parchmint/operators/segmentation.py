@@ -101,12 +101,12 @@ def fit_boundaries(pairs: DataFrame, grid: tuple[float, ...] = (0.01, 0.1, 1.0),
     return CrossValidator(estimator=model, estimatorParamMaps=params, evaluator=judge, numFolds=folds, seed=seed).fit(data)
 
 
-def predict_boundaries(model, pairs: DataFrame, threshold: float = 0.5, doc_col: str = "doc_id") -> DataFrame:
-    """doc_id, pair_index and boundary: whether a segment starts after the pair's first sentence."""
+def predict_boundaries(model, pairs: DataFrame, threshold: float = 0.5, doc_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, pair_index, the columns to keep, and boundary: whether a segment starts after the pair's first sentence."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     scored = model.transform(pairs.withColumn("features", array_to_vector("features")))
-    return scored.select(doc_col, "pair_index", (vector_to_array("probability")[1] >= threshold).alias("boundary"))
+    return scored.select(doc_col, "pair_index", *(keep or []), (vector_to_array("probability")[1] >= threshold).alias("boundary"))
 
 
 def sentence_positions(rows: DataFrame, doc_col: str = "doc_id", sentence_col: str = "sentence") -> DataFrame:

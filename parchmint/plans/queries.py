@@ -401,10 +401,11 @@ def pair_features(spark, sf_dir):
 
 @query()
 def boundary_model(spark, sf_dir):
-    """Boundaries told by a balanced logistic regression, fitted to the first half of the pseudo-documents."""
+    """Boundaries of all pseudo-documents, told by a balanced logistic regression fitted to the train part of them."""
     pairs = S.pair_features(vectors(spark, sf_dir).withColumn("label", (F.col("pos") % 5 == 0).cast("int")))
-    model = S.fit_boundaries(pairs.where("doc_id % 2 = 0"), max_iter=50)
-    return S.predict_boundaries(model, pairs.where("doc_id % 2 = 1"))
+    pairs = pairs.join(D.train_test_split(pairs.select("doc_id").distinct()), "doc_id")
+    model = S.fit_boundaries(pairs.where(~F.col("is_test")))
+    return S.predict_boundaries(model, pairs, keep=["is_test"])
 
 
 @query(f"SELECT doc_id, pos::INT AS pos, (e - length(sentence))::INT AS start_pos, e::INT AS end_pos FROM (SELECT *, sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS e FROM ({TURNS}))")

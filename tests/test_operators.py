@@ -170,6 +170,17 @@ def test_boundary_model(spark):
     assert told.count() == 330
 
 
+def test_boundary_model_tells_every_pair(spark, tmp_path):
+    from parchmint.plans.queries import boundary_model
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(25 * 20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    told = boundary_model(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.pair_index) for r in told} == {(d, p) for d in range(20) for p in range(24)} and len(told) == 480
+    assert len({r.doc_id for r in told if r.is_test}) == 6 and len({(r.doc_id, r.is_test) for r in told}) == 20
+
+
 def test_preparation_repeats_itself(spark):
     ids = spark.range(1000).withColumnRenamed("id", "doc_id")
     assert D.sample_documents(ids, 50).count() == 50
