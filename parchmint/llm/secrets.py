@@ -23,6 +23,8 @@ OPAQUE = r"[A-Za-z0-9+/_=-]{24,}"
 KINDS = ("assign", "access", "hex", "opaque")
 #: Owners from which on a candidate is a copied example.
 OWNERS = 3
+#: Repositories from which on it is one too, however few owners they have.
+REPOS = 10
 
 
 def _places(pieces: Column, matches: Column, order: int) -> Column:
@@ -85,13 +87,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners")).where("n > 1")
 
 
+def copied(n_owners: Column, n_repos: Column, owners: int, repos: int) -> Column:
+    """Whether a candidate of so many owners and repositories is a copied example."""
+    return (n_owners >= owners) | (n_repos >= repos)
+
+
 MASK = "[SECRET]"
 #: Rows whose masks are broadcast at most; beyond, texts and masks are shuffled.
 BROADCAST_ROWS = 150_000
 
 
-def redact(docs: DataFrame, owners: int = OWNERS, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = MASK) -> DataFrame:
-    """The rows of docs, with all their columns; in the text, credentials that fewer than `owners` owners have are masked.
+def redact(docs: DataFrame, owners: int = OWNERS, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = MASK, repos: int = REPOS) -> DataFrame:
+    """The rows of docs, with all their columns; in the text, credentials that fewer than `owners` owners and fewer than
+    `repos` repositories have are masked.
 
     Only the credential goes: of an assignment the value, not the name. Credentials of copied examples stay. What is
     masked by one mask may be several candidates that overlap. A null text stays null; rows that repeat stay.
@@ -103,8 +111,8 @@ def redact(docs: DataFrame, owners: int = OWNERS, text_col: str = "text", owner_
     found = found.withColumnsRenamed({"source": "owner"})
     often = cut(ownership(found))
     each = found.select("__k1", "__k2", F.explode(F.concat("base", "opaque")).alias("s")).select("__k1", "__k2", "s.*").distinct()
-    each = each.join(often, "hash", "left").withColumn("n_owners", F.coalesce("n_owners", F.lit(1)))
-    live = each.where((F.col("n_owners") < owners) & ((F.col("kind_order") < 3) | (F.col("n_owners") < 2)))
+    each = each.join(often, "hash", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("n_owners", "n_repos")})
+    live = each.where(~copied(F.col("n_owners"), F.col("n_repos"), owners, repos) & ((F.col("kind_order") < 3) | (F.col("n_owners") < 2)))
     masks = cut(live.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(F.struct("value_start", "end"))).alias("__masks")))
     side = F.broadcast(masks) if masks.count() <= BROADCAST_ROWS else masks
 
@@ -120,8 +128,10 @@ def redact(docs: DataFrame, owners: int = OWNERS, text_col: str = "text", owner_
     return joined.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
-def scan(docs: DataFrame, owners: int = OWNERS, **columns) -> DataFrame:
-    """Per row: base counts and digest, all spans, how many candidates are live-looking or copied, and the live spans.
+def scan(docs: DataFrame, owners: int = OWNERS, repos: int = REPOS, evidence: bool = False, **columns) -> DataFrame:
+    """Per row: base counts and digest, all spans, and how many candidates are live-looking or copied.
+
+    With evidence, also held: kind, start, end, n_owners and n_repos of each span.
 
     A null or empty text has no spans. Rows that repeat are repeated, and count as one repository. A null owner or
     repository counts like any other. Overlapping spans of different kinds all stay.
@@ -135,13 +145,15 @@ def scan(docs: DataFrame, owners: int = OWNERS, **columns) -> DataFrame:
     plain = found.select("row", "doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), F.concat("base", "opaque").alias("all"))
     # the frequencies are cut off from their plan so that the join sees two plain shuffles and can split a hot hash
     frequent = cut(ownership(found))
-    kind = "array<struct<start:bigint,kind_order:int,end:bigint,n_owners:bigint>>"
+    kind = "array<struct<start:bigint,kind_order:int,end:bigint,n_owners:bigint,n_repos:bigint>>"
     without = plain.where(F.size("all") == 0).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array().cast(kind).alias("seen"))
     each = plain.where(F.size("all") > 0).select("row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.explode("all").alias("s")).withColumn("hash", F.col("s.hash"))
     joined = each.join(frequent, "hash", "left")
-    one = F.struct(F.col("s.start").alias("start"), F.col("s.kind_order").alias("kind_order"), F.col("s.end").alias("end"), F.coalesce("n_owners", F.lit(1).cast("long")).alias("n_owners"))
+    one = F.struct(F.col("s.start").alias("start"), F.col("s.kind_order").alias("kind_order"), F.col("s.end").alias("end"), *[F.coalesce(c, F.lit(1).cast("long")).alias(c) for c in ("n_owners", "n_repos")])
     grouped = joined.groupBy("row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256").agg(F.array_sort(F.collect_list(one)).alias("seen"))
     rows = without.unionByName(grouped.drop("row"))
     rows = rows.withColumn("kept", F.filter("seen", lambda s: (s["kind_order"] < 3) | (s["n_owners"] < 2)))
-    live = F.filter("kept", lambda s: s["n_owners"] < owners)
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", told(F.col("kept")).alias("spans"), F.size(live).cast("long").alias("n_live"), (F.size("kept") - F.size(live)).cast("long").alias("n_copied"))
+    live = F.filter("kept", lambda s: ~copied(s["n_owners"], s["n_repos"], owners, repos))
+    name = F.array(*map(F.lit, KINDS))
+    held = F.transform("kept", lambda s: F.struct(F.element_at(name, s["kind_order"] + 1).alias("kind"), s["start"], s["end"], s["n_owners"], s["n_repos"])).alias("held")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", told(F.col("kept")).alias("spans"), F.size(live).cast("long").alias("n_live"), (F.size("kept") - F.size(live)).cast("long").alias("n_copied"), *([held] if evidence else []))
