@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions.code import FENCES, INDENTED_FENCE, guess_language, is_code_line, lines
@@ -56,18 +56,29 @@ def fenced_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.dropDuplicates([id_col, "start_pos", "end_pos"])
 
 
+def apart_in_order(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of heuristic blocks, in the order of their lines, those that overlap none that is kept before them."""
+    each = F.struct("first_line", "code", "language", "start_pos", "end_pos")
+    rows = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(each)).alias("b"))
+
+    def step(held, x):
+        meets = F.exists(held, lambda k: (x["start_pos"] < k["end_pos"]) & (k["start_pos"] < x["end_pos"]))
+        return F.when(meets, held).otherwise(F.concat(held, F.array(x)))
+
+    kept = F.aggregate("b", F.filter("b", lambda x: F.lit(False)), step)
+    return rows.select(id_col, F.explode(kept).alias("b")).select(id_col, "b.*")
+
+
 def extract_code(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fenced blocks, and heuristic ones that overlap none of them or of the heuristic blocks before.
 
-    Blocks of a document meet in a window over its id; a document has few.
+    Blocks of a document meet in a fold over its id; a document has few.
     """
     fenced = fenced_blocks(docs, id_col, text_col).withColumn("kind", F.lit("fenced"))
-    loose = heuristic_blocks(docs, id_col, text_col).drop("first_line").withColumn("kind", F.lit("heuristic"))
+    loose = heuristic_blocks(docs, id_col, text_col)
     f = fenced.select(F.col(id_col).alias("__id"), F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"))
     apart = loose.join(f, (F.col(id_col) == F.col("__id")) & (F.col("end_pos") > F.col("__s")) & (F.col("start_pos") < F.col("__e")), "left_anti")
-    first = Window.partitionBy(id_col, "start_pos", "end_pos").orderBy("start_pos")
-    apart = apart.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return fenced.unionByName(apart)
+    return fenced.unionByName(apart_in_order(apart, id_col).drop("first_line").withColumn("kind", F.lit("heuristic")))
 
 
 def _mark(b: Column) -> Column:

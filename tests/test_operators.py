@@ -160,6 +160,14 @@ def test_code_blocks(spark):
     assert all(r.kind == "fenced" or CODE[r.start_pos : r.end_pos] == r.code for r in rows)
 
 
+def test_a_code_block_inside_an_earlier_one_goes(spark):
+    short = "    return y"
+    text = f"def f(y):\n{short}\n    x = compute(1);\nThis is only prose about the thing.\n{short}\nMore prose about the thing."
+    assert CO.heuristic_blocks(docs(spark, text)).count() == 2
+    rows = CO.extract_code(docs(spark, text)).collect()
+    assert len(rows) == 1 and text[rows[0].start_pos : rows[0].end_pos] == rows[0].code and rows[0].code.startswith("def f")
+
+
 def test_boundary_model(spark):
     rng = np.random.default_rng(6)
     groups = [np.repeat(rng.normal(size=(4, 3)), 3, axis=0) + rng.normal(size=(12, 3)) * 0.01 for _ in range(30)]
