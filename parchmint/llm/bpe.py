@@ -17,9 +17,22 @@ LONG = 1 << 16
 #: A letter or digit before a plain space or line break: no match of the pre-splitting pattern covers both.
 SAFE = re.compile(r"(?<=[^\W_])(?=[ \n])")
 
+#: White space as the pattern's \s has it.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
 _built: dict = {}
 
 
+def blank_runs(text: str, size: int = LONG) -> list[tuple[int, int]]:
+    """(start, end) of each match of the pattern that is one run of more than `size` white-space characters.
+
+    No match that begins before a run reaches into it. The alternative that ends before white space takes the run less
+    its last character, which may belong to what follows, or the whole run at the end of the text.
+    """
+    found = [m.span() for m in BLANKS.finditer(text) if m.end() - m.start() > size]
+    return [(a, b if b == len(text) else b - 1) for a, b in found]
+
+
 def pieces(text: str, size: int = LONG) -> list[str]:
     """The text cut at safe boundaries into pieces of about `size` characters.
 
@@ -49,13 +62,22 @@ def encoder(rank_file: bytes, pattern: str):
     return _built[key]
 
 
-def encode(enc, text: str) -> list[int]:
-    """The ids of a whole text; strings of special tokens are ordinary text."""
-    if len(text) <= LONG:
+def encode(enc, text: str, size: int = LONG) -> list[int]:
+    """The ids of a whole text; strings of special tokens are ordinary text.
+
+    The library's regular expression backtracks over white space, and a very long run overflows its stack: such a run
+    is encoded as the one piece that it is, past the expression.
+    """
+    if len(text) <= size:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for piece in pieces(text):
-        ids += enc.encode_ordinary(piece)
+    at = 0
+    for a, b in [*blank_runs(text, size), (len(text), len(text))]:
+        for piece in pieces(text[at:a], size):
+            ids += enc.encode_ordinary(piece)
+        if a < b:
+            ids += enc._encode_single_piece(text[a:b].encode())
+        at = b
     return ids
 
 

@@ -38,6 +38,25 @@ def test_cuts_at_safe_boundaries_change_no_token(plain):
     assert bpe.pieces("x" * 1000, 20) == ["x" * 1000]
 
 
+def test_long_runs_of_white_space_are_encoded_past_the_expression(plain):
+    for text in (" " * 500_000, "a" + "\n" * 400_000 + " b", "x" + "\u3000 \t" * 100_000 + "\r\ny  z", "w " * 50_000 + " " * 70_000 + "é" + "\n" * 70_000):
+        assert bpe.encode(plain, text) == plain.encode_ordinary(text)
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "so " * 300_000 + " " * 2_000_000 + "on\n" + "\t" * 1_500_000 + "!"):
+        ids = bpe.encode(plain, text)
+        assert plain.decode_bytes(ids) == text.encode()
+    assert bpe.encode(plain, "\n" * 2_000_000) == plain._encode_single_piece(b"\n" * 2_000_000)
+    rng = np.random.default_rng(8)
+    for n in (50, 400):
+        text = "".join(rng.choice(list("ab \n\t\u00a0!"), n, p=[0.1, 0.1, 0.3, 0.2, 0.1, 0.1, 0.1]))
+        assert bpe.encode(plain, text, size=3) == plain.encode_ordinary(text)
+
+
+def test_a_page_of_blanks_does_not_end_the_job(spark):
+    df = spark.createDataFrame([(1, " " * 1_200_000), (2, "a" + "\n" * 1_200_000 + "b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.op8(spark, df).collect()}
+    assert got[1].decoded_sha256 == hashlib.sha256(b" " * 1_200_000).hexdigest() and got[2].n_tokens > 2
+
+
 def test_token_columns_and_raw_decoding(docs, rows):
     out = bpe.add_token_ids(docs, *bpe.default_ranks())
     assert "text" not in out.columns and set(docs.columns) - {"text"} < set(out.columns)
