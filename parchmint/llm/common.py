@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from functools import wraps
 
 import numpy as np
@@ -28,19 +27,85 @@ def held_out(id_col: str = "doc_id"):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, of spark.checkpoint.dir.
+
+    Where it isn't set, the checkpoint folder of the context, or, in local mode only, a folder in the warehouse.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="shared-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return folder
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
+    """The same rows with their lineage cut by a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps the planner's guess of its size, and the guess of a join is a product: over many rounds the number
+    gets so long that planning never ends. The rows are therefore taken on without it.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager)
+        sc.setCheckpointDir(shared_folder(spark))
+    held = df.checkpoint(eager)
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(held._jdf.queryExecution().toRdd(), held._jdf.schema(), False), spark)
+    out._checkpoint = held
+    return out
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Takes a folder away from whatever store it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(*frames: DataFrame) -> None:
+    """Deletes the files of checkpoints (results of cut) that nothing reads any more."""
+    for df in frames:
+        file = df._checkpoint._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            delete(df.sparkSession, file.get())
+
+
+#: Bytes of rows up to which a side of a join is broadcast.
+BROADCAST_BYTES = 24 << 20
+
+
+def row_bytes(df: DataFrame):
+    """About the bytes that a row takes: 8 for each plain value, and the lengths of strings and arrays (of plain structs)."""
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind == "array":
+            inner = f.dataType.elementType
+            total = total + F.coalesce(F.size(c), F.lit(0)) * 8 * (len(inner.fields) + 1 if inner.typeName() == "struct" else 1) + 24
+        else:
+            total = total + 8
+    return total
+
+
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df marked for broadcast if its rows are measured to be few bytes; else as it is, for a shuffle. df is a checkpoint."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit else df
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores where one of the columns is called so."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def batches(column: pa.Array | pa.ChunkedArray, limit: int = 4 << 20):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut
+from parchmint.llm.common import cut, free
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,21 +25,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = told.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = told.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = cut(out.where("a <> b").distinct())
+    free(least, edges)
+    return out
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (the least node of it) of every node that has an edge. edges: a and b, longs, in any order.
 
-    Loops and repeated edges are let pass; an empty table gives an empty one.
+    Goes on until nothing changes, which a logarithmic number of rounds reaches for any graph. Loops and repeated edges
+    are let pass; an empty table gives an empty one.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(a, b))")).first()
         if state == before or not state[0]:
             break
         before = state
-        now = cut(_star(_star(now, large=True), large=False))
+        now = _star(_star(now, large=True), large=False)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
