@@ -7,21 +7,20 @@ with Adam on a bounded sample. For scoring, a text is read in segments of fixed
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import batches, held_out, texts, tidied
 
 HIDDEN = 8
 SEGMENT = 128
-#: Segments that are read in step.
-LANES = 2048
-#: Documents to learn from for each language, at most.
-SAMPLE = 400
-LANGUAGES = 64
+#: Segments that are read in step, times languages (up to 16 languages: 2,048 segments).
+LANES = 2048 * 16
+#: Documents to learn from: in all, and for each language, at most. Of each a number of stretches of some bytes.
+SAMPLE, PER_LANGUAGE = 8000, 400
+STRETCHES, STRETCH = 16, 64
 UNKNOWN = "und"
 GATES = "zrn"
 
@@ -133,8 +132,12 @@ def gradients(p: dict, x: np.ndarray, labels: np.ndarray) -> tuple[float, dict]:
     return loss, out
 
 
-def train(samples: list[tuple[bytes, int]], classes: int, steps: int = 300, lanes: int = 128, length: int = 48, rate: float = 0.02, seed: int = 5) -> dict:
-    """Parameters learned from random stretches of the samples, each language as often as any other."""
+def train(samples: list[tuple[bytes, int]], classes: int, steps: int | None = None, lanes: int = 128, length: int = 48, rate: float = 0.02, seed: int = 5) -> dict:
+    """Parameters learned from random stretches of the samples, each language as often as any other.
+
+    Steps are 300, and more from 16 languages on, so that each is read as often.
+    """
+    steps = steps or 300 * -(-max(classes, 1) // 16)
     rng = np.random.default_rng(seed)
     p = initial(classes)
     by = [[s for s, y in samples if y == c and s] for c in range(classes)]
@@ -174,14 +177,15 @@ def pooled(p: dict, raw: list[bytes]) -> np.ndarray:
         body = np.frombuffer(r.replace(b"\0", b" "), np.uint8)
         grid[row : row + k].reshape(-1)[: len(body)] = body
         row += k
-    for a in range(0, len(grid), LANES):
-        x = np.ascontiguousarray(grid[a : a + LANES].T)
+    lanes = max(1, LANES // max(16, classes))
+    for a in range(0, len(grid), lanes):
+        x = np.ascontiguousarray(grid[a : a + lanes].T)
         prob = probabilities(p, x)
         if not x.all():
             prob[x == 0] = 0
         sums = prob.sum(axis=0)
         for c in range(classes):
-            total[:, c] += np.bincount(owner[a : a + LANES], sums[:, c], len(raw))
+            total[:, c] += np.bincount(owner[a : a + lanes], sums[:, c], len(raw))
     return total / np.maximum(lengths, 1)[:, None]
 
 
@@ -189,32 +193,33 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text))
 
 
-def learn(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], dict]:
-    """The languages and the network, from rows that are not held out and whose language is known.
+def learn(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], dict]:
+    """The languages (every value of lang_col) and the network, from rows that are not held out and whose language is known.
 
-    Of each language the per_language rows with the smallest hashes are used, of at most LANGUAGES languages (the most
-    frequent): the driver gets a bounded number of texts. Only hashes are ranked; texts come by a broadcast of ids.
+    Of each language the rows with the smallest hashes are used, per_language at most and no more than an equal part
+    of `sample` (one at least); of each STRETCHES stretches of STRETCH bytes, from places all over the text by hash. They are
+    ranked on the executors and come in one job, whatever the number of partitions. Equal rows count once.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8").alias("raw"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("raw").isNotNull() & ~held_out())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(counts)
     if not languages:
         return [], initial(1)
-    # rows under a threshold of their hash: about 1.5 times what is wanted of the rarest, so that few are ranked
-    sizes = {r["lang"]: r["count"] for r in counts}
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * per_language / n)))])
-    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 1)
-    few = rows.where(F.col("lang").isin(languages) & (hashed / F.lit(2.0**63) < share[F.col("lang")]))
-    samples = {}
-    for r in few.select("doc_id", "lang", F.encode(F.col("text"), "UTF-8").alias("raw"), hashed.alias("h")).toLocalIterator():
-        held = samples.setdefault(r["lang"], [])
-        held.append((r["h"], r["doc_id"] or 0, bytes(r["raw"])))
-        if len(held) > 2 * per_language:
-            held.sort()
-            del held[per_language:]
-    chosen = [(s.replace(b"\0", b" "), k) for k, lang in enumerate(languages) for _, _, s in sorted(samples.get(lang, []))[:per_language]]
-    return languages, train(chosen, len(languages))
+    wanted = max(1, min(per_language, sample // len(languages)))
+    # rows under a threshold of their hash: somewhat more than what is wanted of each language, so that few are ranked
+    spark = docs.sparkSession
+    near = wanted + 6 * wanted**0.5 + 12
+    shares = spark.createDataFrame([(lang, min(1.0, near / n)) for lang, n in counts.items()], "lang string, share double")
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32("raw"), F.lit(11)), 1)
+    few = rows.withColumn("h", hashed).join(F.broadcast(shares), "lang").where(F.col("h") / F.lit(2.0**63) < F.col("share"))
+    room = F.greatest(F.octet_length("raw") - STRETCH + 1, F.lit(1))
+    pieces = [F.substring(F.col("raw"), F.pmod(F.xxhash64("h", F.lit(k)), room).cast("int") + 1, F.lit(STRETCH)) for k in range(STRETCHES)]
+    few = few.groupBy("lang", "h").agg(F.min(F.array(*pieces)).alias("pieces"))
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= wanted)
+    at = {lang: k for k, lang in enumerate(languages)}
+    found = sorted((at[r["lang"]], r["r"], r["pieces"]) for r in ranked.select("lang", "r", "pieces").collect())
+    return languages, train([(bytes(s).replace(b"\0", b" "), k) for k, _, pieces in found for s in pieces], len(languages))
 
 
 def identify(docs: DataFrame, languages: list[str], p: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
