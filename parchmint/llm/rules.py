@@ -23,6 +23,7 @@ SYMBOLS = b"#*$%&|<>"
 RUNS = re.compile(rb"[#*$%&|<>]+")
 CLOSERS = (b".", b"!", b"?", b":", b";", b'"', "…".encode(), "»".encode(), "”".encode())
 WINDOW = 8
+STRETCH = 100
 
 #: Name, and the bounds: the measure at or below the first is voted good, at or above the second bad, else abstain.
 RULES = {
@@ -33,7 +34,7 @@ RULES = {
     "shouting": (0.05, 0.30),  # share of words in capitals, of more than one letter
     "bangs": (0.05, 0.25),  # share of words that end in ! or ?
     "open_ends": (0.30, 0.95),  # share of lines of 4 words and more that end without closing punctuation
-    "variety": (0.75, 0.92),  # share of words that are another occurrence of an earlier word, beyond that of a long text
+    "variety": (0.55, 0.80),  # share of words that occur before in their stretch of STRETCH words, over the whole text
     "stutter": (0.02, 0.25),  # share of words equal to the word before
     "word_length": (0.35, 0.70),  # distance of the log mean word length from that of ordinary prose
 }
@@ -90,7 +91,7 @@ def measures(text: str | None) -> tuple[int, int, int, int, int, list[float | No
         return 0, chars, symbols, dup, repeat, [None] * len(RULES)
     shouting = sum(map(bytes.isupper, (w for w in words if len(w) > 2)))
     bangs = raw.count(b"! ") + raw.count(b"? ") + raw.count(b"!\n") + raw.count(b"?\n") + raw.endswith((b"!", b"?"))
-    variety = 1 - len(set(words)) / n
+    variety = 1 - sum(len(set(words[k : k + STRETCH])) for k in range(0, n, STRETCH)) / n
     return (
         n, chars, symbols, dup, repeat,
         [
@@ -101,7 +102,7 @@ def measures(text: str | None) -> tuple[int, int, int, int, int, list[float | No
             shouting / n,
             bangs / n,
             open_ends / long_lines if long_lines else None,
-            variety if n < 2000 else None,
+            variety,
             sum(map(bytes.__eq__, words, words[1:])) / n,
             abs(math.log(chars / n / 5.5)),
         ],
@@ -129,16 +130,17 @@ class Model:
         return float(1 / (1 + math.exp(min(700.0, bad - good))))
 
 
-#: Belief about a rule before any document is seen (votes good, bad, abstain): among good and among bad documents.
+#: Belief before any document is seen: the share of good ones, and of a rule's votes (good, bad, abstain) among good and
+#: among bad documents.
+GOOD = 0.9
 BELIEF = np.array([[0.90, 0.002, 0.098], [0.65, 0.25, 0.10]])
 
 
-def fit(patterns: dict[str, int], rounds: int = 50, strength: float = 0.3) -> Model:
+def fit(patterns: dict[str, int], rounds: int = 200, belief: float = 100.0) -> Model:
     """Rates and posteriors from the number of documents per vote pattern.
 
-    It starts from the votes: a pattern without bad votes is good, one with any is likely bad. BELIEF counts as many
-    documents as `strength` times those of the class, so that a rule which only finds junk that no other rule finds isn't taken
-    for noise; a rule never ends up voting bad more often among good documents than among bad ones.
+    It starts from BELIEF about every rule, which counts as `belief` documents of each class, however many there are:
+    it decides in a small corpus and is outweighed in a large one. A rule never ends up voting bad more often among good documents than among bad ones.
     """
     keys = sorted(patterns)
     if not keys:
@@ -146,10 +148,11 @@ def fit(patterns: dict[str, int], rounds: int = 50, strength: float = 0.3) -> Mo
     n = np.array([patterns[k] for k in keys], dtype=float)
     votes = np.array([["gb-".index(c) for c in k] for k in keys])
     one_hot = np.stack([votes == v for v in range(3)], axis=2).astype(float)
-    good = np.where((votes == 1).any(axis=1), 0.05, 0.98)
+    start = Model(GOOD, np.repeat(BELIEF[:, None, :], len(RULES), axis=1))
+    good = np.array([start.score(k) for k in keys])
     for _ in range(rounds):
-        prior = float(np.clip((n * good).sum() / n.sum(), 0.02, 0.98))
-        rates = np.stack([np.einsum("p,prv->rv", n * q, one_hot) + strength * ((n * q).sum() + 1e-9) * b for q, b in zip((good, 1 - good), BELIEF)])
+        prior = float(((n * good).sum() + belief * GOOD) / (n.sum() + belief))
+        rates = np.stack([np.einsum("p,prv->rv", n * q, one_hot) + belief * b for q, b in zip((good, 1 - good), BELIEF)])
         rates /= rates.sum(axis=2, keepdims=True)
         turned = rates[0, :, 1] > rates[1, :, 1]
         rates[:, turned] = rates[:, turned].mean(axis=0)
@@ -192,9 +195,9 @@ def failed():
 
 
 def judged(rows: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    pairs = [F.lit(x) for kv in model.posterior.items() for x in kv]
-    score = F.coalesce(F.create_map(*pairs)[F.col("votes")] if pairs else F.lit(None).cast("double"), F.lit(0.0))
-    rows = rows.withColumn("base_failed", failed()).withColumn("quality", score)
+    """rows with base_failed, quality and kept. The posteriors of the vote patterns (3^10 short rows at most) are broadcast."""
+    known = rows.sparkSession.createDataFrame(list(model.posterior.items()), "votes string, quality double")
+    rows = rows.withColumn("base_failed", failed()).join(F.broadcast(known), "votes", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
