@@ -12,6 +12,8 @@ A document is the set of its word shingles (as 64-bit hashes). Documents with eq
 4. What is left are pairs in a bucket of which neither is its pivot and whose components differ. They are filtered in
    blocks of bounded size and all that pass are verified, so no link that could join two components is lost. Where
    very many are left, each class's nearest in every other component is verified first, which joins most of them.
+5. All links lie within components. Where their number is asked for, the classes of a component are compared in blocks
+   of bounded size, each pair in exactly one of them, and only counts leave a block.
 
 Buckets are split, joined and counted by shuffles that Spark can split further; nothing of the size of a bucket meets
 in one task.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut, mix, texts, tidied
+from parchmint.llm.common import BROADCAST_BYTES, cut, free, fresh, mix, small_side, texts, tidied
 from parchmint.llm.components import connected_components
 from parchmint.llm.sketch import BLOCK_BITS, Cells, cell, flags, gathered, in_order, passes
 
@@ -39,12 +42,14 @@ SKETCH_BITS = 25
 RANGES = 32
 #: Longs of the parity bitmap of a set.
 PARITY = 16
-#: Ids that are broadcast at most to read only the texts that a verification needs; beyond, all are read.
-BROADCAST_IDS = 1_000_000
 #: Pairs between components from which on the nearest are verified first.
 NEAREST_FIRST = 200_000
 #: Bucket members in a block, and members outside the pivot's component in a block.
 BLOCK, OUTSIDERS = 512, 4096
+#: Classes, and shingles of all of them, in a block in which links are counted.
+LINK_CLASSES, LINK_SHINGLES = 2048, 1 << 20
+#: Pairs of a shingle's holders in two blocks from which on it is counted by matrix product.
+DENSE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -101,16 +106,9 @@ def signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def packed(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash of a set, which tell the shingles of two texts apart."""
-    return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpacked(body) -> np.ndarray:
-    six = np.frombuffer(body, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").ravel()
+def _heads(sigs: pa.Array) -> np.ndarray:
+    """The first 8 bytes of each signature, as a long."""
+    return np.frombuffer(b"".join(s.as_buffer().to_pybytes()[:8] for s in sigs), np.int64)
 
 
 def levels_of(counts: np.ndarray) -> bytes:
@@ -124,8 +122,8 @@ def level(held: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """doc_id, n and sig of each row, and besides them each partition's part of the sketch, as blocks."""
-    names = ["doc_id", "n", "sig", "block", "cells"]
+    """doc_id, key, n and sig of each row, and besides them each partition's part of the sketch, as blocks."""
+    names = ["doc_id", "key", "n", "sig", "block", "cells"]
 
     def run(parts):
         shingle, seen = Shingler(sim.words), Cells(SKETCH_BITS)
@@ -136,13 +134,13 @@ def signed(docs: DataFrame, sim: Similarity) -> DataFrame:
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
                 seen.add(cell(s, SKETCH_BITS))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         found = seen.blocks()
         if found:
             k = len(found)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in found], pa.int32()), pa.array([z for _, z in found], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in found], pa.int32()), pa.array([z for _, z in found], pa.binary())], names=names)
 
-    return docs.mapInArrow(tidied(run), "doc_id long, n long, sig binary, block int, cells binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, key binary, n long, sig binary, block int, cells binary")
 
 
 def prefixed(docs: DataFrame, sim: Similarity, levels) -> DataFrame:
@@ -208,41 +206,78 @@ def _close(sim: Similarity, a: str = "", b: str = "p_") -> str:
 
 
 def suffix_filtered(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) whose sets can still be similar.
+    """Pairs (a, b) whose sets can still be similar by what follows their first common shingle.
 
-    Sets differ in no fewer shingles than their counts over ranges of hashes differ in all; similar sets of sizes x
-    and y differ in x + y - 2 overlap at most.
+    Before the first shingle that two prefixes share, at places i and j of the common order, the sets have nothing in
+    common, so they differ in i + j shingles there. After it they differ in no fewer shingles than the counts of their
+    suffixes over ranges of hashes differ in all. Similar sets of sizes x and y differ in x + y - 2 overlap at most.
     """
-    told = classes.select("node", "n", "counts", "sig")
-    left = told.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("counts").alias("ac"), F.col("sig").alias("a_sig"))
-    right = told.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("counts").alias("bc"), F.col("sig").alias("b_sig"))
-    both = pairs.join(left, "a").join(right, "b")
-    apart = F.aggregate(F.zip_with("ac", "bc", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return both.where(apart <= F.expr(f"an + bn - 2 * {sim.sql_overlap('an', 'bn')}")).select("a", "b", "a_sig", "b_sig")
-
+    told = classes.select("node", "n", "prefix", "counts", "sig")
+    left = told.select(*[F.col(c).alias(f"a_{c}" if c != "node" else "a") for c in told.columns])
+    right = told.select(*[F.col(c).alias(f"b_{c}" if c != "node" else "b") for c in told.columns])
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_sig", "b_sig", "a_n", "b_n", "a_prefix", "b_prefix", "a_counts", "b_counts")
 
-def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar.
+    def run(parts):
+        for part in parts:
+            m = part.num_rows
+            sides = []
+            for k in (6, 7):
+                lists = part.column(k)
+                sizes = np.diff(lists.offsets.to_numpy())
+                owner = np.repeat(np.arange(m), sizes)
+                place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                sides.append((owner, lists.flatten().to_numpy(zero_copy_only=False), place))
+            owner, token, place = (np.concatenate([x[k] for x in sides]) for k in range(3))
+            order = np.lexsort((token, owner))
+            twice = np.flatnonzero((owner[order][1:] == owner[order][:-1]) & (token[order][1:] == token[order][:-1]))
+            cut_at = len(sides[0][0])
+            first = [np.full(m, np.iinfo(np.int64).max) for _ in "ab"]
+            for at in (order[twice], order[twice + 1]):
+                for side, mine in enumerate((at < cut_at, at >= cut_at)):
+                    np.minimum.at(first[side], owner[at[mine]], place[at[mine]])
+            shared = first[0] < np.iinfo(np.int64).max
+            ranges = []
+            for (o, t, p), f, k in zip(sides, first, (8, 9)):
+                counts = part.column(k).flatten().to_numpy(zero_copy_only=False).reshape(m, RANGES).astype(np.int64)
+                head = p <= f[o]
+                spot = o[head] * RANGES + (t[head].view(np.uint64) >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
+                ranges.append(counts - np.bincount(spot, minlength=m * RANGES).reshape(m, RANGES))
+            apart = np.abs(ranges[0] - ranges[1]).sum(axis=1) + np.where(shared, first[0], 0) + np.where(shared, first[1], 0)
+            a, b = (part.column(k).to_numpy() for k in (4, 5))
+            yield part.select(["a", "b", "a_sig", "b_sig"]).filter(pa.array(shared & (apart <= a + b - 2 * sim.overlap(a, b))))
+
+    return both.mapInArrow(tidied(run), "a long, b long, a_sig binary, b_sig binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose whole sets are similar, and the sets (sig, body) that were compared, both as checkpoints.
 
     owners: sig and doc_id of a row of each class. Only texts of rows that a pair needs are shingled, if their ids are
-    few enough to be broadcast.
+    few enough to be broadcast; else all are, and a filter of fixed size lets pass the sets that a pair needs.
     """
     needed = pairs.select(F.col("a_sig").alias("sig")).unionAll(pairs.select(F.col("b_sig").alias("sig"))).distinct()
     wanted = cut(needed.join(owners, "sig").select("sig", "doc_id"))
-    rows = docs
-    ids = wanted.agg(F.count("*"), F.count("doc_id")).first()
-    if ids[0] == ids[1] <= BROADCAST_IDS:
-        rows = docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    counted = wanted.agg(F.count("*"), F.count("doc_id")).first()
+    rows, held = docs.select("doc_id", "text"), None
+    if counted[0] == counted[1] and 8 * counted[0] <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    else:
+        heads = wanted.select("sig").mapInArrow(lambda parts: (pa.RecordBatch.from_pydict({"h": pa.array(_heads(p.column(0)))}) for p in parts), "h long")
+        held = docs.sparkSession.sparkContext.broadcast(flags(heads))  # 16 MB, whatever the corpus
 
     def run(parts):
         shingle = Shingler(sim.words)
         for part in parts:
             got = [s for s in (shingle(text.as_py()) for text in part.column(1)) if len(s)]
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(map(signature, got), pa.binary()), "body": pa.array([packed(s) for s in got], pa.binary())})
+            sigs = pa.array(map(signature, got), pa.binary())
+            if held is not None:
+                keep = passes(np.frombuffer(held.value, np.uint8), _heads(sigs).view(np.uint64))
+                got, sigs = [got[k] for k in keep], sigs.take(pa.array(keep))
+            yield pa.RecordBatch.from_pydict({"sig": sigs, "body": pa.array([s.astype("<u8").tobytes() for s in got], pa.binary())})
 
     sets = rows.mapInArrow(tidied(run), "sig binary, body binary")
-    if rows is docs:  # all copies of a class come: one of them is enough
-        sets = cut(sets.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("body").alias("body")))
+    # an id may come on several rows, and all copies of a class may come: one of them is enough
+    sets = cut(sets.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("body").alias("body")))
     left = sets.select(F.col("sig").alias("a_sig"), F.col("body").alias("a_body"))
     right = sets.select(F.col("sig").alias("b_sig"), F.col("body").alias("b_body"))
     both = pairs.join(left, "a_sig").join(right, "b_sig").select("a", "b", "a_body", "b_body")
@@ -251,29 +286,33 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, sim: Similari
         for part in parts:
             keep = []
             for x, y in zip(part.column(2), part.column(3)):
-                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
-                common = len(x) + len(y) - len(np.union1d(x, y))
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(sim.den * common >= sim.num * (len(x) + len(y) - common))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(tidied(compare), "a long, b long")
+    edges = cut(both.mapInArrow(tidied(compare), "a long, b long"))
+    free(wanted)
+    return edges, sets
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _rest(shared: DataFrame, buckets: DataFrame, parts: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+def _rest(shared: DataFrame, buckets: DataFrame, parts: DataFrame, classes: DataFrame, sim: Similarity) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs (x, y) in a bucket of which neither is its pivot, in different components (of y: yc), that pass the filters.
 
     One of them is outside the pivot's component: only such members are paired with others, in blocks. The bitmaps are
-    compared right in the join (apart: bits in which they differ), so that few pairs come out of it.
+    compared right in the join (apart: bits in which they differ), so that few pairs come out of it. Also the
+    checkpoints that the pairs are made from.
     """
     named = shared.join(buckets.where("m > 2").select("token", "m", "p_node"), "token").join(parts, "node", "left")
     named = named.select("token", "node", "n", "pos", "m", "p_node", F.coalesce("component", "node").alias("component"))
     named = named.join(parts.select(F.col("node").alias("p_node"), F.col("component").alias("p_component")), "p_node", "left")
     named = cut(named.withColumn("outside", F.col("component") != F.coalesce("p_component", "p_node")).drop("p_component"))
     spread = cut(named.groupBy("token").agg(F.sum(F.col("outside").cast("long")).alias("out")).where("out > 0"))
+    used = [named, spread]
     named = named.where("node <> p_node").drop("p_node").join(spread, "token").join(classes.select("node", "parity"), "node")
     spot = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("m") / BLOCK).cast("long"))
     other = F.pmod(F.xxhash64("node", F.lit(6)), F.ceil(F.col("out") / OUTSIDERS).cast("long"))
@@ -283,11 +322,11 @@ def _rest(shared: DataFrame, buckets: DataFrame, parts: DataFrame, classes: Data
     apart = " + ".join(f"bit_count(parity[{k}] ^ p_parity[{k}])" for k in range(PARITY))
     most = f"n + p_n - 2 * {sim.sql_overlap('n', 'p_n')}"
     rest = members.join(outside, ["token", "block", "group"]).where(f"component <> p_component AND (NOT outside OR node < p_node) AND {_close(sim)} AND {apart} <= {most}")
-    return rest.select(F.col("p_node").alias("x"), F.col("node").alias("y"), F.col("component").alias("yc"), F.expr(apart).alias("apart"))
+    return rest.select(F.col("p_node").alias("x"), F.col("node").alias("y"), F.col("component").alias("yc"), F.expr(apart).alias("apart")), used
 
 
-def links(docs: DataFrame, classes: DataFrame, owners: DataFrame, sim: Similarity) -> DataFrame:
-    """Verified links (a, b) between classes, enough of them to connect all classes that links connect.
+def links(docs: DataFrame, classes: DataFrame, owners: DataFrame, sim: Similarity) -> tuple[DataFrame, list[DataFrame]]:
+    """Components (node, component) that verified links connect, and tables of the sets of all classes that have a link.
 
     First the pairs with pivots; then all pairs that are left between components. Where these are very many, the pair
     that differs least goes first, for each class and each other component in its buckets, since it mostly joins the two.
@@ -297,67 +336,216 @@ def links(docs: DataFrame, classes: DataFrame, owners: DataFrame, sim: Similarit
     buckets = cut(buckets.select("token", "m", F.col("p.pos").alias("p_pos"), F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n")))
     star = shared.join(buckets, "token").where(f"node <> p_node AND {_close(sim)}")
     done = cut(_ordered(star.select(F.col("node").alias("x"), F.col("p_node").alias("y"))))
-    edges = cut(verified(cut(suffix_filtered(done, classes, sim)), docs, owners, sim))
-    rest = _rest(shared, buckets, cut(connected_components(edges)), classes, sim)
+    pairs = cut(suffix_filtered(done, classes, sim))
+    edges, first_sets = verified(pairs, docs, owners, sim)
+    sets = [first_sets]
+    free(pairs)
+    parts = cut(connected_components(edges))
+    rest, used = _rest(shared, buckets, parts, classes, sim)
+    rest = cut(rest)
+    free(shared, buckets, *used)
     if rest.count() > NEAREST_FIRST:
         # distance and node packed in one number, the least of which is the nearest; a node that doesn't fit is left to the last round
         low = F.lit((1 << 51) - 1)
         packed_pair = F.shiftleft(F.col("apart").cast("long"), 51).bitwiseOR(F.col("y").bitwiseAND(low))
         nearest = rest.groupBy("x", "yc").agg(F.min(packed_pair).alias("least")).select("x", F.col("least").bitwiseAND(low).alias("y"))
-        pairs = cut(_ordered(nearest).join(done, ["a", "b"], "left_anti"))
-        edges = cut(edges.unionAll(verified(cut(suffix_filtered(pairs, classes, sim)), docs, owners, sim)))
-        done = done.unionAll(pairs)
-        rest = _rest(shared, buckets, cut(connected_components(edges)), classes, sim)
+        pairs = cut(suffix_filtered(_ordered(nearest).join(done, ["a", "b"], "left_anti"), classes, sim))
+        done = done.unionAll(_ordered(nearest))
+        more, more_sets = verified(pairs, docs, owners, sim)
+        edges = edges.unionAll(more)
+        sets.append(more_sets)
+        free(pairs)
+        # components only grow together: what is left is among what was left before
+        parts = cut(connected_components(edges))
+        mine = parts.select(F.col("node").alias("x"), F.col("component").alias("xc"))
+        other = parts.select(F.col("node").alias("y"), F.col("component").alias("yc"))
+        named = rest.select("x", "y").join(mine, "x", "left").join(other, "y", "left")
+        rest = named.where(F.coalesce("xc", "x") != F.coalesce("yc", "y"))
     pairs = cut(suffix_filtered(_ordered(rest.select("x", "y")).join(done, ["a", "b"], "left_anti"), classes, sim))
-    return edges if pairs.isEmpty() else edges.unionAll(verified(pairs, docs, owners, sim))
+    if not pairs.isEmpty():
+        more, more_sets = verified(pairs, docs, owners, sim)
+        parts = cut(connected_components(edges.unionAll(more)))
+        sets.append(more_sets)
+    free(pairs)
+    return parts, sets
 
 
-def groups(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of common shingles of each set of the left and each of the right.
+
+    Shingles that many of both sides have are counted by a product of incidence matrices, the others pair by pair.
+    """
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    flat = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    out = np.zeros(len(left) * len(right), np.int64)
+    if not len(common):
+        return out.reshape(len(left), len(right))
+    held, at = [], []
+    for tokens, owner in zip(flat, rows):
+        spot = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        real = common[spot] == tokens
+        order = np.argsort(spot[real], kind="stable")
+        at.append(spot[real][order])
+        held.append(owner[real][order])
+    sizes = [np.bincount(x, minlength=len(common)) for x in at]
+    often = sizes[0] * sizes[1] > DENSE
+    column = np.cumsum(often) - 1
+    dense = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(often.sum()), 4096):
+        sides = []
+        for k, n in enumerate((len(left), len(right))):
+            mine = often[at[k]]
+            col = column[at[k][mine]] - a
+            inside = (col >= 0) & (col < 4096)
+            m = np.zeros((n, 4096), np.float32)
+            m[held[k][mine][inside], col[inside]] = 1
+            sides.append(m)
+        dense += sides[0] @ sides[1].T
+    first = [np.cumsum(x) - x for x in sizes]
+    rare = np.flatnonzero(~often)
+    work = np.cumsum(sizes[0][rare] * sizes[1][rare])
+    for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.unique(np.searchsorted(work, np.arange(0, (work[-1] if len(work) else 0) + (1 << 22), 1 << 22)).tolist() + [len(rare)]))):
+        t = rare[a:b]
+        n = sizes[0][t] * sizes[1][t]
+        token = np.repeat(t, n)
+        k = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+        i = held[0][first[0][token] + k // sizes[1][token]]
+        j = held[1][first[1][token] + k % sizes[1][token]]
+        out += np.bincount(i * len(right) + j, minlength=len(out))
+    return out.reshape(len(left), len(right)) + dense.astype(np.int64)
+
+
+def link_counts(members: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """sig and links: to how many rows of other classes each class is linked.
+
+    members: sig, component, n, w (rows of the class). Similar sets of a component are in the same band of sizes or in
+    neighbouring ones. Each band is dealt into blocks by hash, and each pair of blocks is one group.
+    """
+    step = f"ln({sim.den} * 1.000000001D / {sim.num})"
+    banded = members.withColumn("band", F.expr(f"cast(floor(ln(n) / {step}) as int)"))
+    bands = banded.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / LINK_CLASSES), F.ceil(F.sum("n") / LINK_SHINGLES)).cast("int").alias("k"))
+    bands = cut(bands)
+    up = bands.select("component", (F.col("band") - 1).alias("band"), F.col("k").alias("k_up"))
+    down = bands.select("component", (F.col("band") + 1).alias("band"), F.col("k").alias("k_down"))
+    blocks = bands.join(up, ["component", "band"], "left").join(down, ["component", "band"], "left")
+    placed = banded.join(blocks, ["component", "band"]).withColumn("p", F.pmod(F.xxhash64("sig", F.lit(9)), F.col("k")).cast("int"))
+
+    def tasks(count, band, across, i, j, side):
+        one = F.transform(F.sequence(F.lit(0), F.coalesce(count, F.lit(1)) - 1), lambda q: F.struct((F.col("band") + band).cast("int").alias("band"), F.lit(across).alias("across"), i(q).alias("i"), j(q).alias("j"), side(q).alias("side")))
+        return F.when(count.isNotNull(), one).otherwise(F.slice(one, 1, 0))
+
+    p = F.col("p")
+    own = tasks(F.col("k"), 0, 0, lambda q: F.least(p, q), lambda q: F.greatest(p, q), lambda q: F.when(p <= q, 0).otherwise(1))
+    above = tasks(F.col("k_up"), 0, 1, lambda q: p, lambda q: q, lambda q: F.lit(0))
+    below = tasks(F.col("k_down"), -1, 1, lambda q: q, lambda q: p, lambda q: F.lit(1))
+    # one set may have been taken in several stages
+    bodies = sets.groupBy("sig").agg(F.first("body").alias("body"))
+    dealt = placed.join(bodies, "sig").select("sig", "w", "component", "body", F.explode(F.concat(own, above, below)).alias("t")).select("sig", "w", "body", "component", "t.*")
+
+    def count(key, table):
+        _, _, across, i, j = (k.as_py() for k in key)
+        side = table.column("side").to_numpy()
+        w = table.column("w").to_numpy()
+        body = [np.frombuffer(b.as_buffer(), "<u8") for b in table.column("body")]
+        at = [np.flatnonzero(side == k) for k in (0, 1)]
+        alone = not across and i == j
+        if alone:
+            at[1] = at[0]
+        if not len(at[0]) or not len(at[1]):
+            return pa.table({"sig": pa.array([], pa.binary()), "links": pa.array([], pa.int64())})
+        a, b = ([body[x] for x in y] for y in at)
+        n_a, n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+        common = intersections(a, b)
+        linked = sim.den * common >= sim.num * (n_a[:, None] + n_b[None, :] - common)
+        if alone:
+            np.fill_diagonal(linked, False)
+        links = np.zeros(len(w), np.int64)
+        links[at[0]] += linked @ w[at[1]]
+        if not alone:
+            links[at[1]] += w[at[0]] @ linked
+        return pa.table({"sig": table.column("sig"), "links": pa.array(links)})
+
+    counted = dealt.groupBy("component", "band", "across", "i", "j").applyInArrow(count, "sig binary, links long")
+    return counted.groupBy("sig").agg(F.sum("links").alias("links"))
+
+
+def _grouped(rows: DataFrame, sim: Similarity, with_links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, text, key): told (doc_id, key, n, sig), and per sig its group, component_id, and rows linked to it."""
+    spark = rows.sparkSession
+    pass1 = cut(signed(rows, sim))
+    told = pass1.where("block IS NULL").select("doc_id", "key", "n", "sig")
+    sketch = gathered(pass1.where("block IS NOT NULL").select("block", "cells"), SKETCH_BITS, levels_of)
+    levels = spark.sparkContext.broadcast(in_order(sketch, SKETCH_BITS, 1 << (BLOCK_BITS - 1)))  # 16 MB, whatever the corpus
+    owners = cut(told.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("w"), F.first("n").alias("n")))
+    stored = cut(prefixed(rows, sim, levels))
+    classes = stored.withColumn("node", F.monotonically_increasing_id())
+    parts, sets = links(rows, classes, owners, sim)
+    named = cut(classes.select("sig", "node").join(parts, "node").join(owners, "sig").select("sig", "component", "doc_id", "w", "n"))
+    free(stored)
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("sig").alias("group"))
+    joined = named.join(least, "component").select("sig", "group", "component_id")
+    if with_links:
+        joined = joined.join(link_counts(named.select("sig", "component", "n", "w"), reduce(DataFrame.unionAll, sets), sim), "sig", "left")
+    else:
+        joined = joined.withColumn("links", F.lit(0).cast("long"))
+    joined = cut(joined)
+    free(named, *sets)
+    final = owners.join(joined, "sig", "left").select("sig", F.coalesce("group", "sig").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    final = cut(final)
+    free(owners, joined)
+    return told, final
+
+
+def groups(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the least doc_id of those that links reach, itself included.
 
+    with_links adds n_links, the number of other rows that the row is linked to, copies included.
+
     A row without words (or with a null text) has no shingles and is on its own. A text of fewer words than a shingle
     is one shingle. Equal sets are linked. Rows that repeat are repeated; a null id is least only where no other id is
     in reach, and then the component is null; other columns are left out.
     """
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
-    pass1 = cut(signed(rows, sim))
-    told = pass1.where("block IS NULL").select("doc_id", "n", "sig")
-    sketch = gathered(pass1.where("block IS NOT NULL").select("block", "cells"), SKETCH_BITS, levels_of)
-    levels = spark.sparkContext.broadcast(in_order(sketch, SKETCH_BITS, 1 << (BLOCK_BITS - 1)))  # 16 MB, whatever the corpus
-    owners = cut(told.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-    classes = cut(prefixed(rows, sim, levels)).withColumn("node", F.monotonically_increasing_id())
-    parts = cut(connected_components(links(rows, classes, owners, sim)))
-    named = classes.select("sig", "node").join(parts, "node").join(owners, "sig").select("sig", "component", "doc_id")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = cut(named.join(least, "component").select("sig", "component_id"))
-    final = cut(owners.join(joined, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id")))
-    out = told.where("n > 0").join(final, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(told.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rows = texts(docs, id_col, text_col).withColumn("key", F.lit(b""))
+    told, final = _grouped(rows, sim, with_links)
+    more = ["n_links"] if with_links else []
+    out = told.where("n > 0").join(final, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
+    alone = told.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in more])
+    return out.unionAll(alone)
 
 
 def keep_first(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, less those whose component has a smaller id.
+    """The rows of docs, with all their columns, less those of a group that holds a row before them.
 
-    Of rows that repeat an id, one stays. Rows without an id can't be told apart and stay. Only the ids that go are
-    sent to the rows: by broadcast if they are few enough, else by a shuffle.
+    The first row of a group is that with the least id, and of several texts under that id the one with the least
+    hash. An id that comes on rows with different texts is judged text by text. Of rows that repeat id and text, one
+    stays. Rows without an id can't be told apart and stay, and so do rows without words, which resemble nothing. Only
+    what goes is sent to the rows: by broadcast if it is small, else by a shuffle.
     """
-    found = groups(docs, sim, id_col, text_col)
-    key = F.col(f"`{id_col}`").cast("long")
-    counted = cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m"), F.min("component_id").alias("least")))
-    gone = cut(counted.where("least < doc_id").select("doc_id"))
-    twice = cut(counted.where("m > 1 AND least = doc_id").select("doc_id"))
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join((F.broadcast(gone) if few else gone).withColumnRenamed("doc_id", "__gone"), key == F.col("__gone"), "left_anti")
+    text = F.col(f"`{text_col}`").cast("string")
+    hashes = [F.xxhash64(F.lit(seed), text) for seed in (1, 2)]
+    rows = texts(docs, id_col, text_col)
+    rows = rows.withColumn("key", F.encode(F.concat_ws(":", *[F.xxhash64(F.lit(seed), "text").cast("string") for seed in (1, 2)]), "UTF-8"))
+    told, final = _grouped(rows, sim)
+    found = told.where("n > 0 AND doc_id IS NOT NULL").join(final.select("sig", "group"), "sig")
+    each = cut(found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("m")))
+    first = cut(each.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("f")))
+    marked = each.join(first, "group")
+    gone = cut(marked.where(F.struct("doc_id", "key") != F.col("f")).select("doc_id", "key"))
+    twice = cut(marked.where((F.col("m") > 1) & (F.struct("doc_id", "key") == F.col("f"))).select("doc_id", "key"))
+    free(each, first)
+    i, k, r = fresh(docs.columns, "gone_id", "gone_key", "whole_row")
+    key = F.encode(F.concat_ws(":", *[h.cast("string") for h in hashes]), "UTF-8")
+    named = docs.withColumns({i: F.col(f"`{id_col}`").cast("long"), k: key})
+    kept = named.join(small_side(gone).toDF(i, k), [i, k], "left_anti")
+    columns = [f"`{c}`" for c in docs.columns]
     if twice.isEmpty():
-        return kept.select(*[f"`{c}`" for c in docs.columns])
-    side = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
-    side = side.withColumnRenamed("doc_id", "__twice")
-    single = kept.join(side, key == F.col("__twice"), "left_anti")
-    one = kept.join(side, key == F.col("__twice"), "left_semi")
-    one = one.groupBy(key.alias("__key")).agg(F.first(F.struct(*[f"`{c}`" for c in docs.columns])).alias("__row"))
-    return single.unionByName(one.select("__row.*"))
+        return kept.select(*columns)
+    side = small_side(twice).toDF(i, k)
+    single = kept.join(side, [i, k], "left_anti").select(*columns)
+    one = kept.join(side, [i, k], "left_semi").groupBy(i, k).agg(F.first(F.struct(*columns)).alias(r))
+    return single.unionByName(one.select(f"`{r}`.*"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return groups(docs, Similarity(words=3, num=90, den=100))
+    return groups(docs, Similarity(words=3, num=90, den=100), with_links=True)

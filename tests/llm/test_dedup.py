@@ -82,19 +82,20 @@ def brute_groups(rows, words, num, den):
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    return [(r[0], len(s), least.get(find(i))) for i, (r, s) in enumerate(zip(rows, sets))]
+    linked = [sum(bool(a and b) and den * len(a & b) >= num * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    return [(r[0], len(s), least.get(find(i)), n) for i, (r, s, n) in enumerate(zip(rows, sets, linked))]
 
 
 @pytest.mark.parametrize("words,num,den", [(3, 90, 100), (5, 4, 5)])
 def test_jaccard_groups_match_brute_force(docs, rows, words, num, den):
-    got = sorted(map(tuple, jaccard.groups(docs, jaccard.Similarity(words, num, den)).collect()), key=repr)
+    got = sorted(map(tuple, jaccard.groups(docs, jaccard.Similarity(words, num, den), with_links=True).collect()), key=repr)
     assert got == sorted(brute_groups(rows, words, num, den), key=repr)
 
 
 def test_jaccard_in_blocks_and_by_shuffles(monkeypatch, docs, rows):
-    for name, value in (("BLOCK", 2), ("OUTSIDERS", 2), ("BROADCAST_IDS", 0), ("NEAREST_FIRST", -1)):
+    for name, value in (("BLOCK", 2), ("OUTSIDERS", 2), ("BROADCAST_BYTES", 0), ("NEAREST_FIRST", -1), ("LINK_CLASSES", 3), ("DENSE", 2)):
         monkeypatch.setattr(jaccard, name, value)
-    got = sorted(map(tuple, jaccard.groups(docs, jaccard.Similarity(3, 90, 100)).collect()), key=repr)
+    got = sorted(map(tuple, jaccard.groups(docs, jaccard.Similarity(3, 90, 100), with_links=True).collect()), key=repr)
     assert got == sorted(brute_groups(rows, 3, 90, 100), key=repr)
 
 
@@ -105,7 +106,7 @@ def test_jaccard_of_nothing(empty):
 def test_keep_first_keeps_one_of_each_group(docs, rows):
     kept = jaccard.keep_first(docs, jaccard.Similarity())
     assert kept.columns == docs.columns
-    want = sorted({c for i, _, c in brute_groups(rows, 5, 4, 5) if i is not None})
+    want = sorted({c for i, _, c, _ in brute_groups(rows, 5, 4, 5) if i is not None})
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
 
 
