@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchmint.functions.text import WS, strip
+from parchmint.functions.spans import let
+from parchmint.functions.text import WS, strip, strip_start
 
 # Words, symbols and patterns that speak for code or for prose.
 KEYWORDS = """
@@ -24,8 +25,7 @@ SAMPLE = 500
 
 def lines(text: Column) -> Column:
     """The lines of a text; a line end at the very end opens no further line."""
-    found = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    return let(F.split(text, LINE_END, -1), lambda found: F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found))
 
 
 def symbol_count(c: Column) -> Column:
@@ -34,22 +34,28 @@ def symbol_count(c: Column) -> Column:
 
 def is_likely_text(line: Column) -> Column:
     """A sentence, many words with hardly a symbol, or a common word with few symbols."""
-    bare = strip(line)
-    sentence = bare.rlike(r"\A\p{Lu}(?s:.*)[.!?]\z")
-    found = F.split(bare, f"{WS}+")
-    many = (F.size(found) > 5) & (symbol_count(bare) < 0.05 * F.length(bare))
-    common = F.arrays_overlap(F.split(F.lower(bare), f"{WS}+"), F.array(*map(F.lit, PROSE))) & (symbol_count(bare) < 3)
-    return (bare != "") & (sentence | many | common)
+
+    def told(x):
+        bare = x["bare"]
+        sentence = bare.rlike(r"\A\p{Lu}") & F.substring(bare, -1, 1).isin(".", "!", "?") & (F.length(bare) > 1)
+        many = (F.size(F.split(bare, f"{WS}+")) > 5) & (x["symbols"] < 0.05 * F.length(bare))
+        common = (x["symbols"] < 3) & F.arrays_overlap(F.split(F.lower(bare), f"{WS}+"), F.array(*map(F.lit, PROSE)))
+        return (bare != "") & (sentence | many | common)
+
+    return let(strip(line), lambda bare: let(F.struct(bare.alias("bare"), symbol_count(bare).alias("symbols")), told))
 
 
 def is_code_line(line: Column) -> Column:
     """By prompt, keyword, symbols, a colon at the end or indentation; never what is likely text."""
-    bare = F.regexp_replace(line, rf"\A{WS}+", "")
+    return (line != "") & let(strip_start(line), lambda bare: _looks_like_code(line, bare)) & ~is_likely_text(line)
+
+
+def _looks_like_code(line: Column, bare: Column) -> Column:
     names = F.regexp_extract_all(bare, F.lit(r"(?U)\b[a-zA-Z_]\w*\b"), F.lit(0))
     keyword = F.arrays_overlap(names, F.array(*map(F.lit, KEYWORDS)))
     symbols = (symbol_count(bare) >= 2) & (F.length(bare) > 5) & bare.rlike(SPECIFIC)
     indented = F.length(line) > F.length(bare)
-    return (line != "") & ~is_likely_text(line) & (bare.startswith(">>>") | keyword | symbols | bare.endswith(":") | indented)
+    return bare.startswith(">>>") | indented | bare.endswith(":") | symbols | keyword
 
 
 def guess_language(code: Column) -> Column:

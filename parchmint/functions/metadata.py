@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parchmint.functions.spans import let
 from parchmint.functions.text import WS, strip, words
 
 # Words that are no keywords, Russian and English.
@@ -33,6 +34,7 @@ TOPICS = {
 }
 NO_TOPIC = "неизвестно"
 SHORT, LONG = 50, 500
+STATISTICS = ("word_count", "sentence_count", "character_count", "avg_word_length", "avg_sentence_length", "unique_words", "lexical_diversity", "is_short", "is_long")
 
 
 def clean_for_analysis(c: Column) -> Column:
@@ -42,25 +44,33 @@ def clean_for_analysis(c: Column) -> Column:
 
 
 def text_statistics(c: Column) -> Column:
-    """Counts and unrounded averages of a text; see rounded_statistics for what is shown."""
-    found = words(clean_for_analysis(c))
-    n, unique = F.size(found), F.size(F.array_distinct(found))
-    parts = F.size(F.filter(F.split(c, "[.!?]+", -1), lambda s: ~s.rlike(rf"\A{WS}*\z")))
-    letters = F.aggregate(found, F.lit(0), lambda held, w: held + F.length(w))
+    """Counts and unrounded averages of a text; see rounded_statistics for what is shown.
+
+    Words are found once for all of them. Take the fields in a select after the one that makes the struct, or the planner
+    copies it into each.
+    """
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return F.struct(
-        n.alias("word_count"), parts.alias("sentence_count"), F.length(c).alias("character_count"),
-        share(letters, n).alias("avg_word_length"), share(n, parts).alias("avg_sentence_length"),
-        unique.alias("unique_words"), share(unique, n).alias("lexical_diversity"),
-        (n < SHORT).alias("is_short"), (n > LONG).alias("is_long"),
-    )
+
+    def counted(found):
+        parts = F.size(F.filter(F.split(c, "[.!?]+", -1), lambda s: strip(s) != ""))
+        counts = F.struct(F.size(found).alias("n"), F.size(F.array_distinct(found)).alias("unique"), parts.alias("parts"), F.length(F.array_join(found, "")).alias("letters"))
+        return let(counts, shown)
+
+    def shown(x):
+        n, unique, parts = x["n"], x["unique"], x["parts"]
+        return F.struct(
+            n.alias("word_count"), parts.alias("sentence_count"), F.length(c).alias("character_count"),
+            share(x["letters"], n).alias("avg_word_length"), share(n, parts).alias("avg_sentence_length"),
+            unique.alias("unique_words"), share(unique, n).alias("lexical_diversity"),
+            (n < SHORT).alias("is_short"), (n > LONG).alias("is_long"),
+        )
+
+    return let(words(clean_for_analysis(c)), counted)
 
 
 def rounded_statistics(stats: Column) -> Column:
-    out = stats
-    for name, digits in (("avg_word_length", 2), ("avg_sentence_length", 2), ("lexical_diversity", 3)):
-        out = out.withField(name, F.round(stats[name], digits))
-    return out
+    digits = {"avg_word_length": 2, "avg_sentence_length": 2, "lexical_diversity": 3}
+    return let(stats, lambda s: F.struct(*[(F.round(s[name], digits[name]) if name in digits else s[name]).alias(name) for name in STATISTICS]))
 
 
 def formula_presence(text: Column, formulas: Column) -> Column:
@@ -76,32 +86,26 @@ def formula_presence(text: Column, formulas: Column) -> Column:
 
 def first_sentence(c: Column) -> Column:
     """Up to the first closing mark of the first line; else the first line."""
-    bare = strip(c)
-    found = F.regexp_extract(bare, r"(?d)\A.*?[.!?]", 0)
-    return F.when(found != "", strip(found)).otherwise(strip(F.substring_index(c, "\n", 1)))
-
-
-def _once(c: Column, f) -> Column:
-    """f of a column that is evaluated once, however often f uses it."""
-    return F.element_at(F.transform(F.array(c), f), 1)
+    found = F.regexp_extract(strip(c), r"(?d)\A.*?[.!?]", 0)
+    return let(found, lambda f: F.when(f != "", strip(f)).otherwise(strip(F.substring_index(c, "\n", 1))))
 
 
 def topic_scores(c: Column) -> Column:
     """How many strings of each topic the text holds, in the order of TOPICS."""
-    return _once(F.lower(c), lambda low: F.array(*[sum((low.contains(k).cast("int") for k in keys), F.lit(0)) for keys in TOPICS.values()]))
+    return let(F.lower(c), lambda low: F.array(*[sum((low.contains(k).cast("int") for k in keys), F.lit(0)) for keys in TOPICS.values()]))
 
 
 def topic_of(c: Column) -> Column:
     """The topic with most strings in the text; null without any."""
     names = F.array(*map(F.lit, TOPICS))
-    return _once(topic_scores(c), lambda s: F.when(F.array_max(s) > 0, F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))))
+    return let(topic_scores(c), lambda s: F.when(F.array_max(s) > 0, F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))))
 
 
 def main_topic(c: Column, inherited: Column | None = None, use_first_sentence: bool = True) -> Column:
     """main_topic, source and confidence: of the first sentence, else the whole text, else a parent's, else unknown."""
 
     def told(topic, source, confidence):
-        return _once(topic, lambda t: F.when(t.isNotNull(), F.struct(t.alias("main_topic"), F.lit(source).alias("source"), F.lit(confidence).alias("topic_confidence"))))
+        return let(topic, lambda t: F.when(t.isNotNull(), F.struct(t.alias("main_topic"), F.lit(source).alias("source"), F.lit(confidence).alias("topic_confidence"))))
 
     ways = [told(topic_of(first_sentence(c)), "first_sentence", 0.8)] if use_first_sentence else []
     ways.append(told(topic_of(clean_for_analysis(c)), "full_text", 0.7))
@@ -112,9 +116,9 @@ def main_topic(c: Column, inherited: Column | None = None, use_first_sentence: b
 
 def keyword_words(c: Column) -> Column:
     """The words that can be keywords: no stop words, of three letters and more; all such words where none is left."""
-    found = F.filter(words(clean_for_analysis(c)), lambda w: F.length(w) > 2)
-    kept = F.filter(found, lambda w: ~w.isin(STOP_WORDS_RU + STOP_WORDS_EN))  # planned as a look-up in a hash set
-    return F.when(F.size(kept) > 0, kept).otherwise(found)
+    stop = STOP_WORDS_RU + STOP_WORDS_EN  # planned as a look-up in a hash set
+    either = let(F.filter(words(clean_for_analysis(c)), lambda w: F.length(w) > 2), lambda found: F.struct(found.alias("found"), F.filter(found, lambda w: ~w.isin(stop)).alias("kept")))
+    return let(either, lambda x: F.when(F.size(x["kept"]) > 0, x["kept"]).otherwise(x["found"]))
 
 
 class Extractors:

@@ -11,6 +11,8 @@ WS = f"[{SPACE_CHARS}]"
 #: The same without the line feed.
 INLINE = r"[\t\x{0b}-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]+"
+#: The characters of WS.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Phrases that mark a sentence of a lecture's speech as irrelevant.
 IRRELEVANT_PHRASES = (
@@ -23,7 +25,11 @@ MIN_SENTENCE = 10
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(c, rf"\A{WS}+", ""), rf"{WS}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def strip_start(c: Column) -> Column:
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -50,15 +56,14 @@ def remove_control(c: Column) -> Column:
 
 def normalize_spaces(c: Column) -> Column:
     """Runs of spaces and tabs become a space; every line is stripped."""
-    lines = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), rf"{INLINE}*\n{INLINE}*", "\n")
-    return F.regexp_replace(F.regexp_replace(lines, rf"\A{INLINE}+", ""), rf"{INLINE}+\z", "")
+    return F.array_join(F.transform(F.split(F.regexp_replace(c, r"[ \t]+", " "), "\n", -1), strip), "\n")
 
 
 def normalize_punctuation(c: Column) -> Column:
     """Straight quotes and hyphens; no space before punctuation, one between it and a letter."""
     c = F.regexp_replace(c, "[«»„‟\"＂]", '"')
     c = F.regexp_replace(c, "[–—]", "-")
-    c = F.regexp_replace(c, rf"{WS}+([.,;:!?])", "$1")
+    c = F.regexp_replace(c, rf"(?<!{WS}){WS}++([.,;:!?])", "$1")  # tried once for each run of white space
     return F.regexp_replace(c, "([.,;:!?])([А-Яа-яA-Za-z])", "$1 $2")
 
 
@@ -97,13 +102,21 @@ def clean_speech(c: Column, phrases: tuple[str, ...] = IRRELEVANT_PHRASES, short
     return F.array_join(kept, " ")
 
 
-# Private-use characters of symbol fonts (from U+F000 on) and what they stand for.
-SYMBOL_CODES = "abcdefghijklmnopqrstuvwxyABCDEFGHIJKLMNOPQRSTUVWX=-+/'<>()[]{}:;,. "
-SYMBOL_CHARS = "αβγδεζηθικμλνξοπρσστυφχψωΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ=-+/*<>()[]{}:;,. "
-SYMBOL_SIGNS = "≥≤≠≈∼∝∞∂∇∫∑∏√∛∜"  # from U+F0B3 on
+# Private-use characters of symbol fonts, and what each stands for.
+SYMBOL_FROM = (
+    "\uf061\uf062\uf063\uf064\uf065\uf066\uf067\uf068\uf069\uf06a\uf06b\uf06c\uf06d\uf06e\uf06f\uf070\uf071\uf072\uf073\uf074\uf075\uf076\uf077\uf078\uf079"
+    "\uf041\uf042\uf043\uf044\uf045\uf046\uf047\uf048\uf049\uf04a\uf04b\uf04c\uf04d\uf04e\uf04f\uf050\uf051\uf052\uf053\uf054\uf055\uf056\uf057\uf058"
+    "\uf03d\uf02d\uf02b\uf02f\uf027\uf03c\uf03e\uf028\uf029\uf05b\uf05d\uf07b\uf07d\uf03a\uf03b\uf02c\uf02e\uf020"
+    "\uf0b3\uf0b4\uf0b5\uf0b6\uf0b7\uf0b8\uf0b9\uf0ba\uf0bb\uf0bc\uf0bd\uf0be\uf0bf\uf0c0\uf0c1"
+)
+SYMBOL_TO = (
+    "αβγδεζηθικμλνξοπρσστυφχψω"
+    "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
+    "=-+/*<>()[]{}:;,. "
+    "≥≤≠≈∼∝∞∂∇∫∑∏√∛∜"
+)
 
 
 def repair_symbols(c: Column) -> Column:
     """Private-use characters that PDF fonts leave become Greek letters, signs and brackets."""
-    source = "".join(chr(0xF000 + ord(x)) for x in SYMBOL_CODES) + "".join(chr(0xF0B3 + i) for i in range(len(SYMBOL_SIGNS)))
-    return F.translate(c, source, SYMBOL_CHARS + SYMBOL_SIGNS)
+    return F.translate(c, SYMBOL_FROM, SYMBOL_TO)

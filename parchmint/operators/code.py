@@ -6,42 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions.code import FENCES, INDENTED_FENCE, guess_language, is_code_line, lines
-from parchmint.functions.spans import find_all, replace_at
+from parchmint.functions.spans import find_all, let, replace_at
+from parchmint.functions.text import strip
 
 
 def classified_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per line: id, line_no (from 0), line, is_code, is_blank."""
     rows = docs.select(F.col(id_col), F.posexplode(lines(F.col(text_col))).alias("line_no", "line"))
-    return rows.withColumn("is_code", is_code_line(F.col("line"))).withColumn("is_blank", F.col("line").rlike(r"(?U)\A\s*\z"))
+    return rows.withColumn("is_code", is_code_line(F.col("line"))).withColumn("is_blank", strip(F.col("line")) == "")
 
 
 def heuristic_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal runs of code and blank lines from their first code line on, with their place in the text.
 
-    The lines of a text are an array of its row, so a fold over that array finds the runs without a shuffle.
+    The lines of a text are an array of its row, which the lines that are neither cut into runs, without a shuffle.
     """
-    kind = "array<struct<first:int,code:string>>"
-    flagged = F.transform(lines(F.col(text_col)), lambda x: F.struct(x.alias("line"), is_code_line(x).alias("code"), x.rlike(r"(?U)\A\s*\z").alias("blank")))
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("first"), F.lit(0).alias("at"))
+    flagged = F.transform(lines(F.col(text_col)), lambda x: F.struct(x.alias("line"), is_code_line(x).alias("code"), (strip(x) == "").alias("blank")))
 
-    def step(held, x):
-        going = held["open"].isNotNull()
-        more = x["code"] | (going & x["blank"])
-        text = F.when(going, F.concat(held["open"], F.lit("\n"), x["line"])).otherwise(x["line"])
-        closed = F.concat(held["done"], F.array(F.struct(held["first"].alias("first"), held["open"].alias("code"))))
-        return F.struct(
-            F.when(~more & going, closed).otherwise(held["done"]).alias("done"),
-            F.when(more, text).alias("open"),
-            F.when(more & ~going, held["at"]).otherwise(held["first"]).alias("first"),
-            (held["at"] + 1).alias("at"),
-        )
-
-    def finish(held):
-        return F.when(held["open"].isNull(), held["done"]).otherwise(F.concat(held["done"], F.array(F.struct(held["first"].alias("first"), held["open"].alias("code")))))
-
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), F.explode(F.aggregate(flagged, start, step, finish)).alias("b"))
+    def blocks(x):
+        breaks = F.filter(F.transform(x, lambda y, i: F.when(~y["code"] & ~y["blank"], i)), lambda i: i.isNotNull())
+        return let(breaks, lambda at: F.zip_with(F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(x))), lambda i, j: between(x, i + 1, j - i - 1)))
+
+    def between(x, first, count):
+        """The block of the lines between two that are neither code nor blank; its first is 0 if there is no code."""
+        some = F.slice(x, first + 1, count)
+        return let(some, lambda y: let(F.array_position(F.transform(y, lambda z: z["code"]), F.lit(True)).cast("int"), lambda k: F.struct((first + k).alias("first"), F.when(k > 0, F.array_join(F.transform(F.slice(y, k, F.size(y)), lambda z: z["line"]), "\n")).alias("code"))))
+
+    found = F.filter(let(flagged, blocks), lambda b: b["code"].isNotNull())
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), F.explode(found).alias("b"))
     rows = rows.withColumn("start_pos", F.expr("locate(b.code, __text)") - 1)
-    return rows.select(id_col, F.col("b.first").alias("first_line"), F.col("b.code").alias("code"), guess_language(F.col("b.code")).alias("language"), "start_pos", (F.col("start_pos") + F.length("b.code")).alias("end_pos"))
+    return rows.select(id_col, (F.col("b.first") - 1).alias("first_line"), F.col("b.code").alias("code"), guess_language(F.col("b.code")).alias("language"), "start_pos", (F.col("start_pos") + F.length("b.code")).alias("end_pos"))
 
 
 def fenced_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from parchmint.functions.formulas import drop_placeholders, extract_formulas, re
 from parchmint.functions.markdown import clean_markdown
 from parchmint.functions.metadata import formula_presence, main_topic, rounded_statistics, text_statistics
 from parchmint.functions.text import clean_speech, normalize
-from parchmint.operators.keywords import keyword_summary
+from parchmint.operators.keywords import keyword_facts
 from parchmint.operators.splitters import SplitterConfig, split_text
 from parchmint.sources.sinks import formula_dict
 
@@ -82,9 +82,7 @@ def process(docs: DataFrame, config: PipelineConfig = PipelineConfig(), encoder=
     docs: doc_id, ext, text, and source_file and file_size if they are known.
     """
     rows = chunk_rows(docs, config, encoder)
-    rows = rows.withColumn("__key", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("sequence").cast("string")))
-    terms = keyword_summary(rows.select("__key", "text"), KEYWORDS, "__key", "text")
-    rows = rows.join(terms, "__key")
+    rows = rows.withColumn("keywords", keyword_facts(F.col("text"), KEYWORDS)).select("*", "keywords.*")
     facts = [c for c in ("splitter_type", "paragraph_number", "is_header", "paragraph_count", "contains_headers", "paragraph_numbers", "chunk_size", "has_overlap", "num_sentences") if c in rows.columns]
     confidence = F.round((F.when(F.col("formula_facts.has_formulas"), 1.0).otherwise(0.95) + 0.99 + F.col("topic.topic_confidence") + F.when(F.size("key_terms") == 0, 0.9).otherwise(F.col("keyword_confidence"))) / 4, 3)
     metadata = F.struct(*facts, "formula_facts.*", "statistics.*", "topic.main_topic", "topic.source", "key_terms", "term_frequencies", "unique_terms_count", F.lit(4).alias("extractor_count"), confidence.alias("extraction_confidence"), F.lit("CompositeExtractor").alias("extractor_name"))
