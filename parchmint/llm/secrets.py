@@ -4,7 +4,8 @@ Every whole text is searched once for candidates. How many owners and repositori
 widely copied examples (of documentation, tutorials, defaults) from credentials that only one owner has.
 
 Spark has no function that gives the places of all matches. Splitting a text by the same pattern gives the pieces
-between the matches, and running sums over the lengths of pieces and matches give the places, in code points.
+between the matches, and running sums over the lengths of pieces and matches give the places, in code points. The sums
+come by doubling, so a text may hold any number of matches.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut
+from parchmint.functions.spans import between, let, places, running_max
+from parchmint.llm.common import cut, free, fresh, small_side
 
 #: Fixed patterns, by kind.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,26 +29,15 @@ OWNERS = 3
 REPOS = 10
 
 
-def _places(pieces: Column, matches: Column, order: int) -> Column:
-    """An array of (start, kind_order, end, value) of all matches, from the pieces between them."""
-    kind = "array<struct<start:bigint,kind_order:int,end:bigint,value:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-
-    def add(held, x):
-        begin = held["at"] + F.length(x["piece"])
-        end = begin + F.length(x["match"])
-        one = F.struct(begin.cast("long").alias("start"), F.lit(order).alias("kind_order"), end.cast("long").alias("end"), x["match"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.concat(held["out"], F.array(one)).alias("out"))
-
-    both = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.aggregate(both, start, add, lambda held: held["out"])
+SPANS = "array<struct<start:bigint,kind_order:int,end:bigint,value:string>>"
 
 
 def _search(rows: DataFrame, kind: int, pattern: str) -> DataFrame:
-    name = KINDS[kind]
-    none = F.array().cast("array<struct<start:bigint,kind_order:int,end:bigint,value:string>>")
-    found = F.when(F.col("body").rlike(pattern), _places(F.split("body", pattern, -1), F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), kind))
-    return rows.withColumn(name, F.coalesce(found, none))
+    """rows with an array of (start, kind_order, end, value) of all matches of a kind."""
+    both = F.struct(F.regexp_extract_all("body", F.lit(pattern), F.lit(0)).alias("m"), F.split("body", pattern, -1).alias("p"))
+    one = lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind_order"), e.alias("end"), m.alias("value"))
+    found = F.when(F.col("body").rlike(pattern), let(both, lambda x: F.zip_with(places(x["p"], x["m"]), x["m"], one)))
+    return rows.withColumn(KINDS[kind], F.coalesce(found, F.array().cast(SPANS)))
 
 
 def _spans(rows: DataFrame, kept: list[str]) -> DataFrame:
@@ -93,8 +84,6 @@ def copied(n_owners: Column, n_repos: Column, owners: int, repos: int) -> Column
 
 
 MASK = "[SECRET]"
-#: Rows whose masks are broadcast at most; beyond, texts and masks are shuffled.
-BROADCAST_ROWS = 150_000
 
 
 def redact(docs: DataFrame, owners: int = OWNERS, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = MASK, repos: int = REPOS) -> DataFrame:
@@ -105,26 +94,27 @@ def redact(docs: DataFrame, owners: int = OWNERS, text_col: str = "text", owner_
     masked by one mask may be several candidates that overlap. A null text stays null; rows that repeat stay.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    row_key = [F.xxhash64(F.lit(seed), F.col(f"`{repo_col}`").cast("string"), text).alias(name) for seed, name in ((1, "__k1"), (2, "__k2"))]
-    rows = docs.select(F.col(f"`{owner_col}`").alias("source"), F.col(f"`{repo_col}`").cast("string").alias("repo"), text.alias("text"), *row_key)
-    found = cut(_spans(rows.select("source", "repo", "__k1", "__k2", F.coalesce("text", F.lit("")).alias("body")), ["source", "repo", "__k1", "__k2"]).where(F.size("base") + F.size("opaque") > 0))
-    found = found.withColumnsRenamed({"source": "owner"})
+    k1, k2, masks_col = fresh(docs.columns, "k1", "k2", "masks")
+    row_key = [F.xxhash64(F.lit(seed), F.col(f"`{repo_col}`").cast("string"), text) for seed in (1, 2)]
+    rows = docs.select(F.col(f"`{owner_col}`").cast("string").alias("owner"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.coalesce(text, F.lit("")).alias("body"), *[c.alias(name) for c, name in zip(row_key, ("k1", "k2"))])
+    found = cut(_spans(rows, ["owner", "repo", "k1", "k2"]).where(F.size("base") + F.size("opaque") > 0))
     often = cut(ownership(found))
-    each = found.select("__k1", "__k2", F.explode(F.concat("base", "opaque")).alias("s")).select("__k1", "__k2", "s.*").distinct()
+    each = found.select("k1", "k2", F.explode(F.concat("base", "opaque")).alias("s")).select("k1", "k2", "s.*").distinct()
     each = each.join(often, "hash", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("n_owners", "n_repos")})
     live = each.where(~copied(F.col("n_owners"), F.col("n_repos"), owners, repos) & ((F.col("kind_order") < 3) | (F.col("n_owners") < 2)))
-    masks = cut(live.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(F.struct("value_start", "end"))).alias("__masks")))
-    side = F.broadcast(masks) if masks.count() <= BROADCAST_ROWS else masks
-
-    def add(held, x):
-        before = F.col(f"`{text_col}`").substr((held["at"] + 1).cast("int"), (x["value_start"] - held["at"]).cast("int"))
-        out = F.when(x["value_start"] >= held["at"], F.concat(held["out"], before, F.lit(mask))).otherwise(held["out"])
-        return F.struct(F.greatest(held["at"], x["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("__masks", start, add, lambda held: F.concat(held["out"], F.col(f"`{text_col}`").substr((held["at"] + 1).cast("int"), F.length(F.col(f"`{text_col}`")))))
-    masked = F.when(F.col("__masks").isNotNull(), whole).otherwise(F.col(f"`{text_col}`"))
-    joined = docs.withColumn("__k1", row_key[0]).withColumn("__k2", row_key[1]).join(side, ["__k1", "__k2"], "left")
+    masks = cut(live.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("value_start", "end"))).alias("masks")))
+    free(found, often)
+    whole, held = F.col(f"`{text_col}`"), F.col(f"`{masks_col}`")
+
+    def merged(x):
+        """Masks that overlap are one: each goes from a start that no mask before reaches to the furthest end before the next."""
+        starts = F.filter(F.transform(x["m"], lambda m, i: F.when((i == 0) | (m["value_start"] >= F.get(x["far"], i - 1)), i)), lambda i: i.isNotNull())
+        last = F.concat(F.transform(F.slice(starts, 2, F.size(starts)), lambda i: i - 1), F.array(F.size(x["m"]) - 1))
+        return F.zip_with(starts, last, lambda i, j: F.struct(F.get(x["m"], i)["value_start"].alias("start"), F.get(x["far"], j).alias("end")))
+
+    far = F.struct(held.alias("m"), running_max(F.transform(held, lambda m: m["end"])).alias("far"))
+    masked = F.when(held.isNotNull(), F.array_join(let(let(far, merged), lambda spans: between(whole, spans)), mask)).otherwise(whole)
+    joined = docs.withColumns({k1: row_key[0], k2: row_key[1]}).join(small_side(masks).toDF(k1, k2, masks_col), [k1, k2], "left")
     return joined.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut, tidied
+from parchmint.llm.common import cut, free, small_side, tidied
 from parchmint.llm.sketch import flags, passes
 
 LENGTH = 200
@@ -33,8 +33,6 @@ RUN = 512
 SHARD_BYTES, SHARD_RUNS = 1 << 20, 2000
 #: Fingerprints in a task that merges shards, about.
 MERGE = 500_000
-#: Rows that are broadcast at most; beyond, both sides of a join are shuffled.
-BROADCAST_ROWS = 150_000
 
 _B = 0x9E3779B97F4A7C15
 
@@ -226,14 +224,26 @@ def _occurrences(rows: DataFrame, held, length: int) -> DataFrame:
     return rows.select("raw", "k1", "k2").mapInArrow(tidied(run), "h long, p1 long, p2 long, k1 long, k2 long, s long, c int, again boolean")
 
 
-def _with_text(needed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """needed (h, p1, p2, n, and where one occurrence is) with the run's bytes instead of its place."""
-    places = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "p1", "p2", "n", "s", "c", "sub", "shard")).alias("runs"))
-    places = cut(places)
-    keys = places.select("k1", "k2")
+def _with_text(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """Of places (per text its key and runs, each h, p1, p2, n, and where it is) each run with its bytes instead of its place.
+
+    Only texts that have such a run are shuffled: by a broadcast of keys if they are few bytes, else by a filter of
+    fixed size.
+    """
     texts = rows.select("k1", "k2", "raw")
-    if places.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
+    keys = places.select("k1", "k2")
+    side = small_side(keys)
+    if side is not keys:
+        texts = texts.join(side, ["k1", "k2"], "left_semi")
+    else:
+        held = rows.sparkSession.sparkContext.broadcast(flags(places.select("k1")))  # 16 MB, whatever the corpus
+
+        def known(parts):
+            shared = np.frombuffer(held.value, np.uint8)
+            for part in parts:
+                yield part.take(pa.array(passes(shared, part.column(0).to_numpy().view(np.uint64))))
+
+        texts = texts.mapInArrow(tidied(known), texts.schema)
     texts = texts.groupBy("k1", "k2").agg(F.first("raw").alias("raw"))
 
     def run(parts):
@@ -305,7 +315,7 @@ def _merged(found: DataFrame) -> DataFrame:
 
 
 def spans(rows: DataFrame, length: int) -> DataFrame:
-    """Per key (k1, k2) the merged byte ranges to remove, as packed 64-bit pairs."""
+    """Per key (k1, k2) the merged byte ranges to remove, as packed 64-bit pairs; a checkpoint."""
     shared = rows.sparkSession.sparkContext.broadcast(flags(_hashes(rows, length)))  # 16 MB, whatever the corpus
     seen = cut(_occurrences(rows, shared, length))
     pieces = cut(seen.groupBy("h", "p1", "p2").agg(F.count("*").alias("n"), F.max("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "s")).alias("at")))
@@ -315,16 +325,20 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
     shards = max(1, -(-size // SHARD_BYTES))
     many = F.col("different") > SHARD_RUNS
     needed = pieces.join(hashes, "h").select("h", "p1", "p2", "n", "c", "at.*", F.when(many, F.pmod(F.xxhash64("p1", "p2"), F.ceil(F.col("different") / SHARD_RUNS).cast("long"))).alias("sub"), F.when(many, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards))).alias("shard"))
-    found = cut(_shards(_with_text(needed, rows, length), length))
+    places = cut(needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "p1", "p2", "n", "s", "c", "sub", "shard")).alias("runs")))
+    free(hashes)
+    found = cut(_shards(_with_text(places, rows, length), length))
+    free(places)
     whole = pieces.where("n > 1").select("h", "p1", "p2", F.lit(0).alias("a"), F.col("c").alias("b"))
     parts = found.where("f1 IS NULL").select("h", "p1", "p2", "a", "b").unionByName(_merged(found)).unionByName(whole)
     parts = cut(parts.groupBy("h", "p1", "p2").agg(F.collect_list(F.struct("a", "b")).alias("parts")))
+    free(pieces, found)
     hits = seen.join(parts, ["h", "p1", "p2"]).select("k1", "k2", F.explode("parts").alias("x"), "s")
     hits = hits.select("k1", "k2", F.struct((F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b") + (length - 1)).alias("b")).alias("x"))
     grouped = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("x")).alias("xs"))
 
-    def run(parts):
-        for part in parts:
+    def run(batches):
+        for part in batches:
             out = []
             for xs in part.column(2):
                 merged: list[list[int]] = []
@@ -336,7 +350,9 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
                 out.append(np.array(merged, "<i8").tobytes())
             yield pa.RecordBatch.from_pydict({"k1": part.column(0), "k2": part.column(1), "spans": pa.array(out, pa.binary())})
 
-    return grouped.mapInArrow(tidied(run), "k1 long, k2 long, spans binary")
+    out = cut(grouped.mapInArrow(tidied(run), "k1 long, k2 long, spans binary"))
+    free(seen, parts)
+    return out
 
 
 def removed(raw: bytes, packed: bytes | None) -> tuple[bytes, int, int]:
@@ -358,9 +374,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     null id stays null; other columns are left out. with_kept adds the bytes themselves.
     """
     rows = _keyed(docs, id_col, text_col)
-    found = cut(spans(rows, length))
-    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    joined = rows.join(side, ["k1", "k2"], "left").select("doc_id", "raw", "spans")
+    found = spans(rows, length)
+    joined = rows.join(small_side(found), ["k1", "k2"], "left").select("doc_id", "raw", "spans")
 
     def run(parts):
         for part in parts:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from parchmint.llm import jaccard, suffix
+from parchmint.llm import common, jaccard, suffix
 from parchmint.llm.components import connected_components
 
 
@@ -33,7 +33,7 @@ def test_suffix_dedup_matches_brute_force(monkeypatch, docs, rows, runs_per_shar
 
 
 def test_suffix_dedup_by_shuffles(monkeypatch, docs, rows):
-    monkeypatch.setattr(suffix, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     got = sorted((r.doc_id or -1, r.n_removed) for r in suffix.deduplicate(docs).collect())
     assert got == sorted((r[0] or -1, b[1]) for r, b in zip(rows, brute_repeats([r[1] for r in rows], 200)))
 
@@ -110,6 +110,33 @@ def test_keep_first_keeps_one_of_each_group(docs, rows):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
 
 
+def test_components_of_a_long_chain(spark):
+    from pyspark.sql import functions as F
+
+    chain = spark.range(100_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = connected_components(chain)
+    assert got.count() == 100_001 and got.where("component <> 0").isEmpty()
+
+
+def test_rows_of_an_id_are_judged_text_by_text(spark, rows):
+    base, other = rows[0][1], "something else entirely that nothing resembles here at all"
+    table = [(0, base), (5, base), (5, other), (5, other), (7, None), (7, ""), (None, base), (8, base + " end"), (8, "short one")]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in table], "doc_id long, text string, gone_id string, gone_key string, whole_row string")
+    kept = jaccard.keep_first(df, jaccard.Similarity())
+    assert kept.columns == df.columns
+    assert sorted((repr(r.doc_id), repr(r.text)) for r in kept.collect()) == sorted((repr(i), repr(t)) for i, t in [(0, base), (5, other), (7, None), (7, ""), (None, base), (8, "short one")])
+
+
+def test_common_shingles_are_counted_alike_by_products_and_pair_by_pair(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[:25]] for a in sets]
+    for dense in (0, 100, 1 << 30):
+        monkeypatch.setattr(jaccard, "DENSE", dense)
+        assert jaccard.intersections(sets, sets[:25]).tolist() == want
+    assert jaccard.intersections(sets[:1], [np.array([99], np.uint64)]).tolist() == [[0]]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 200)] + [(300, 300), (401, 400), (400, 401)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -153,6 +153,23 @@ def test_an_example_in_many_repositories_of_one_source_is_copied(spark):
     assert "held" not in secrets.scan(df).columns
 
 
+def test_a_text_with_very_many_matches(spark):
+    from tests.llm.conftest import SCHEMA
+
+    text = "".join(f"é token={i:08d} " for i in range(30_000))
+    df = spark.createDataFrame([(1, text, "en", "s"), (2, "secret=abcdefgh", "en", "t")], SCHEMA)
+    told = {r.doc_id: r for r in secrets.scan(df).collect()}
+    spans = brute_spans(text)
+    assert told[1].n_assign == 30_000 and told[1].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert masked[1] == "é token=[SECRET] " * 30_000 and masked[2] == "secret=[SECRET]"
+
+
+def test_columns_of_the_input_may_be_called_as_the_operators_own(docs, rows):
+    clash = docs.withColumnsRenamed({"n": "k2", "raw": "masks", "score": "gone_id"})
+    assert secrets.redact(clash).columns == clash.columns and secrets.redact(clash).count() == len(rows)
+
+
 def test_secrets_of_nothing(empty):
     assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
 
