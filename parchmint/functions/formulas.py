@@ -1,7 +1,7 @@
 """Formula detection, placeholders and restoration.
 
-Detection runs over Arrow batches, since its three passes each search the text that the one before has left; the tests
-and normal forms of single formulas, and restoration, are Column functions. Offsets never drift: each kind of formula is
+Detection runs over Arrow batches, since its three passes each search the text that the one before has left; the test
+and the normal forms of single formulas are the same functions as Columns, and restoration is one of built-ins. Offsets never drift: each kind of formula is
 found in one text and replaced in it by place. Positions that are returned are those in the text that went in. An inline
 formula is restored with its dollar signs, and no formula holds another.
 """
@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions.spans import restore_all
-from parchmint.functions.text import WS, strip
 
 DISPLAY, INLINE, PLAIN = "latex_display", "latex_inline", "plain_text"
 METHODS = (DISPLAY, INLINE, PLAIN)
@@ -38,34 +38,16 @@ FORMULA = "array<struct<placeholder:string,full:string,original:string,normalize
 FOUND = f"formulas {FORMULA}, text_with_placeholders string"
 
 
-def normalize_latex(c: Column) -> Column:
-    return F.regexp_replace(strip(c), f"{WS}+", " ")
+def latex_form(text: str) -> str:
+    return " ".join(text.split())
 
 
-def normalize_plain(c: Column) -> Column:
-    return F.replace(F.translate(normalize_latex(c), TO_PLAIN_FROM, TO_PLAIN_TO), F.lit("^"), F.lit("**"))
+def plain_form(text: str) -> str:
+    return latex_form(text).translate(str.maketrans(TO_PLAIN_FROM, TO_PLAIN_TO)).replace("^", "**")
 
 
-def normalize_formula(c: Column, kind: Column) -> Column:
-    return F.when(kind == PLAIN, normalize_plain(c)).otherwise(normalize_latex(c))
-
-
-def looks_like_formula(c: Column) -> Column:
+def looks_like(text: str) -> bool:
     """Not a short number; with an operator; mostly not letters, unless Greek; with a digit if longer than 10."""
-    bare = strip(c)
-    number = bare.rlike(rf"\A(?:\p{{Nd}}|{WS}|\.)+\z") & (F.length(bare) <= 4)
-    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
-    wordy = (letters > 0.8 * F.length(c)) & ~c.rlike("[α-ωΑ-Ω]")
-    return ~number & c.rlike(MATH_CHARS) & ~wordy & (c.rlike(r"\p{Nd}") | (F.length(c) <= 10)) & (F.length(c) > 0)
-
-
-def _plain_form(text: str) -> str:
-    text = " ".join(text.split())
-    return text.translate(str.maketrans(TO_PLAIN_FROM, TO_PLAIN_TO)).replace("^", "**")
-
-
-def _looks_like(text: str) -> bool:
-    """looks_like_formula of one string."""
     bare = text.strip()
     if re.fullmatch(r"[\d\s.]+", bare) and len(bare) <= 4 or not re.search(MATH_CHARS, text):
         return False
@@ -74,6 +56,27 @@ def _looks_like(text: str) -> bool:
     return bool(re.search(r"\d", text)) or len(text) <= 10
 
 
+def _mapped(kind: str, f: Callable):
+    return F.pandas_udf(lambda values: values.map(f, na_action="ignore"), kind)
+
+
+def normalize_latex(c: Column) -> Column:
+    return _mapped("string", latex_form)(c)
+
+
+def normalize_plain(c: Column) -> Column:
+    return _mapped("string", plain_form)(c)
+
+
+def normalize_formula(c: Column, kind: Column) -> Column:
+    return F.when(kind == PLAIN, normalize_plain(c)).otherwise(normalize_latex(c))
+
+
+def looks_like_formula(c: Column) -> Column:
+    """looks_like of each string, as detection applies it."""
+    return _mapped("boolean", looks_like)(c)
+
+
 def find_formulas(text: str, methods: tuple[str, ...] = METHODS, min_length: int = 5, max_length: int = 100) -> tuple[list[dict], str]:
     """The formulas of one text in the order of their places, and the text with placeholders."""
     found: list[dict] = []
@@ -102,13 +105,13 @@ def find_formulas(text: str, methods: tuple[str, ...] = METHODS, min_length: int
         return "".join([*out, text[end:]])
 
     if DISPLAY in methods:
-        hits = [(m.start(), m.end(), m[0], " ".join(m[0][2:-2].split())) for m in re.finditer(DISPLAY_PATTERN, text)]
+        hits = [(m.start(), m.end(), m[0], latex_form(m[0][2:-2])) for m in re.finditer(DISPLAY_PATTERN, text)]
         text = replace(text, DISPLAY, hits, False)
     if INLINE in methods:
-        hits = [(m.start(), m.end(), m[1], " ".join(m[1].split())) for m in re.finditer(INLINE_PATTERN, text) if len(m[1].strip()) >= min_length and re.search(r"[a-zA-Zα-ωΑ-Ω=+\-*/^]", m[1]) and "[[FORMULA_" not in m[1]]
+        hits = [(m.start(), m.end(), m[1], latex_form(m[1])) for m in re.finditer(INLINE_PATTERN, text) if len(m[1].strip()) >= min_length and re.search(r"[a-zA-Zα-ωΑ-Ω=+\-*/^]", m[1]) and "[[FORMULA_" not in m[1]]
         text = replace(text, INLINE, hits, False)
     if PLAIN in methods:
-        hits = [(m.start(), m.end(), m[0], _plain_form(m[0])) for m in PLAIN_PATTERN.finditer(text) if min_length <= len(m[0]) <= max_length and "[[FORMULA_" not in m[0] and _looks_like(m[0])]
+        hits = [(m.start(), m.end(), m[0], plain_form(m[0])) for m in PLAIN_PATTERN.finditer(text) if min_length <= len(m[0]) <= max_length and "[[FORMULA_" not in m[0] and looks_like(m[0])]
         text = replace(text, PLAIN, hits, True)
     return sorted(found, key=lambda f: f["start_pos"]), text
 

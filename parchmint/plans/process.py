@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions.formulas import drop_placeholders, extract_formulas, restore_formulas
@@ -25,8 +25,8 @@ class PipelineConfig:
     splitter_type: str = "paragraph"
     min_chunk_size: int = 100
     max_chunk_size: int = 50_000
-    preserve_original_text: bool = True
-    output_format: str = "json"
+    preserve_original_text: bool = True  # accepted, without effect: a chunk has its original text
+    output_format: str = "json"  # accepted, without effect: sinks are functions of their own
     #: Attach formulas to chunks by inclusive ranges of positions instead of by the placeholders in a chunk.
     strict_positions: bool = False
     paragraph_separator: str = "\n\n"
@@ -76,10 +76,16 @@ def chunk_rows(docs: DataFrame, config: PipelineConfig = PipelineConfig(), encod
     return out.withColumns({"block_type": F.lit("text"), "statistics": rounded_statistics(text_statistics(F.col("text"))), "formula_facts": formula_presence(F.col("text"), F.col("formulas")), "topic": main_topic(F.col("text"))})
 
 
+def _now() -> Column:
+    """Milliseconds of the clock when a row is worked on."""
+    return F.java_method(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long")
+
+
 def process(docs: DataFrame, config: PipelineConfig = PipelineConfig(), encoder=None) -> DataFrame:
     """A row per document: the result with its chunks, their formulas and metadata, and statistics of the whole.
 
-    docs: doc_id, ext, text, and source_file and file_size if they are known.
+    docs: doc_id, ext, text, and source_file and file_size if they are known. The time of a document is that from the
+    reading of its row to the making of its result, in which other documents are worked on too.
     """
     rows = chunk_rows(docs, config, encoder)
     rows = rows.withColumn("keywords", keyword_facts(F.col("text"), KEYWORDS)).select("*", "keywords.*")
@@ -90,9 +96,9 @@ def process(docs: DataFrame, config: PipelineConfig = PipelineConfig(), encoder=
     nested = rows.groupBy("doc_id").agg(F.collect_list(chunk).alias("chunks"), F.sum(F.size("formulas")).alias("total_formulas"))
     ordered = F.array_sort("chunks", lambda a, b: F.when(a["sequence"] < b["sequence"], -1).when(a["sequence"] > b["sequence"], 1).otherwise(0))
     columns = set(docs.columns)
-    head = docs.select("doc_id", (F.col("source_file") if "source_file" in columns else F.col("doc_id").cast("string")).alias("source_file"), (F.col("file_size") if "file_size" in columns else F.octet_length("text").cast("long")).alias("__size"))
+    head = docs.select("doc_id", (F.col("source_file") if "source_file" in columns else F.col("doc_id").cast("string")).alias("source_file"), (F.col("file_size") if "file_size" in columns else F.octet_length("text").cast("long")).alias("__size"), _now().alias("__began"))
     both = head.join(nested, "doc_id", "left")
-    statistics = F.struct(F.coalesce(F.size("chunks"), F.lit(0)).alias("total_chunks"), F.coalesce("total_formulas", F.lit(0)).alias("total_formulas"), F.col("__size").alias("input_file_size_bytes"))
+    statistics = F.struct(F.coalesce(F.size("chunks"), F.lit(0)).alias("total_chunks"), F.coalesce("total_formulas", F.lit(0)).alias("total_formulas"), F.round((_now() - F.col("__began")) / 1000, 3).alias("processing_time_seconds"), F.col("__size").alias("input_file_size_bytes"))
     return both.select("doc_id", F.expr("uuid()").alias("process_id"), "source_file", F.current_timestamp().alias("processed_at"), statistics.alias("statistics"), ordered.alias("chunks"))
 
 

@@ -121,6 +121,7 @@ class Readers:
 #: Facts that a reader may give about a file; those it doesn't give are null.
 METADATA = "file_type string, encoding string, file_size long, line_count int, character_count int, total_characters int, extraction_tool string, page_count int, model string, device string"
 _FACTS = [f.split()[0] for f in METADATA.split(", ")]
+_METADATA_KIND = f"struct<{METADATA.replace(' ', ':').replace(',:', ',')}>"
 
 
 def empty_files(spark: SparkSession, path: str | list[str]) -> list[str]:
@@ -142,8 +143,18 @@ def read_files(spark: SparkSession, path: str | list[str], readers: Readers | No
     A path that doesn't exist raises when it is read, as with any source. report_empty lists the folders on the driver
     to find empty files; without it they are passed over.
     """
+    rows = decode_files(spark.read.format("binaryFile").load(path).select("path", "length", "content"), readers)
+    empty = [(p, os.path.splitext(p)[1].lower(), "ValueError: the file is empty") for p in (empty_files(spark, path) if report_empty else [])]
+    if not empty:
+        return rows
+    none = spark.createDataFrame(empty, "path string, ext string, error string")
+    facts = F.from_json(F.to_json(F.struct(F.ltrim(F.col("ext"), F.lit(".")).alias("file_type"), F.lit(0).alias("file_size"))), _METADATA_KIND)
+    return rows.unionByName(none.select("path", "ext", F.lit(None).cast("string").alias("text"), facts.alias("metadata"), "error"))
+
+
+def decode_files(files: DataFrame, readers: Readers | None = None) -> DataFrame:
+    """path, ext, text, metadata, error of rows of path, length and content, wherever these come from."""
     held = (readers or Readers()).found
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -164,15 +175,8 @@ def read_files(spark: SparkSession, path: str | list[str], readers: Readers | No
                 out.append((name, ext, text, facts, error))
             yield pd.DataFrame(out, columns=["path", "ext", "text", "metadata", "error"])
 
-    kind = f"struct<{METADATA.replace(' ', ':').replace(',:', ',')}>"
-    rows = files.mapInPandas(run, f"path string, ext string, text string, metadata {kind}, error string")
-    rows = rows.withColumn("text", F.when(F.col("ext") == ".pdf", repair_symbols(F.col("text"))).otherwise(F.col("text")))
-    empty = [(p, os.path.splitext(p)[1].lower(), "ValueError: the file is empty") for p in (empty_files(spark, path) if report_empty else [])]
-    if not empty:
-        return rows
-    none = spark.createDataFrame(empty, "path string, ext string, error string")
-    facts = F.from_json(F.to_json(F.struct(F.ltrim(F.col("ext"), F.lit(".")).alias("file_type"), F.lit(0).alias("file_size"))), kind)
-    return rows.unionByName(none.select("path", "ext", F.lit(None).cast("string").alias("text"), facts.alias("metadata"), "error"))
+    rows = files.select("path", "length", "content").mapInPandas(run, f"path string, ext string, text string, metadata {_METADATA_KIND}, error string")
+    return rows.withColumn("text", F.when(F.col("ext") == ".pdf", repair_symbols(F.col("text"))).otherwise(F.col("text")))
 
 
 def load_file(spark: SparkSession, path: str) -> tuple[str, dict]:
@@ -195,6 +199,12 @@ def read_labelled(spark: SparkSession, path: str, columns: list[str] | None = No
     return df.select(*columns) if columns else df
 
 
+def read_dataset(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """doc_id (from 0, in no order), sentences and labels of a split of a labelled dataset in Parquet: files called <split>*.parquet."""
+    rows = spark.read.parquet(f"{path.rstrip('/')}/{split}*.parquet")
+    return rows.select(F.monotonically_increasing_id().alias("doc_id"), F.col("sentences").cast("array<string>").alias("sentences"), F.col("labels").cast("array<int>").alias("labels"))
+
+
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared folder (spark.checkpoint.dir), or below the warehouse where none is set."""
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def formula_dict(formulas: Column) -> Column:
     """Formulas as they stand in the result: type, and the places packed into position."""
     return F.transform(formulas, lambda f: F.struct(f["original"].alias("original"), f["normalized"].alias("normalized"), f["formula_type"].alias("type"), F.struct(f["start_pos"].alias("start"), f["end_pos"].alias("end")).alias("position")))
