@@ -189,6 +189,29 @@ def test_sharding_law(docs, rows, bin_rows):
     assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
 
 
+def test_shards_follow_the_order_of_fractional_ranks(docs, rows):
+    """The order is that of (rank - 1/2) / rows of the source, which sorting all rows by hand gives too."""
+    from pyspark.sql import functions as F
+
+    keyed = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("body"))
+    crc, size = F.crc32(F.encode("body", "UTF-8")), (F.octet_length("body") + 16).cast("long")
+    keyed = keyed.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("s"), crc.alias("crc"), size.alias("size"))
+    told = [tuple(r) for r in keyed.select("doc_id", "s", "crc", "size", F.xxhash64(F.lit(7), "doc_id", "crc", "size").alias("key")).collect()]
+    by: dict = {}
+    for r in told:
+        by.setdefault(r[1], []).append(r)
+    order = []
+    for s, members in by.items():
+        members.sort(key=lambda r: r[4] % (1 << 64) >> 1)
+        order += [((2 * i + 1) / (2 * len(members)), s, r) for i, r in enumerate(members)]
+    order.sort(key=lambda x: x[:2])
+    shards = 7
+    want = sorted(((r[0], r[2], place * shards // len(order)) for place, (_, _, r) in enumerate(order)), key=repr)
+    for bins in (3, 500):
+        got = sorted(((r.doc_id, r.text_crc32, r.shard) for r in shard.interleave(docs, shards=shards, bin_rows=bins).collect()), key=repr)
+        assert got == want
+
+
 def test_shards_match_the_mixture(spark):
     df = spark.createDataFrame([(i, f"t{i}", "a" if i % 3 else "b") for i in range(3000)], "doc_id long, text string, source string")
     source = {i: "a" if i % 3 else "b" for i in range(3000)}
