@@ -12,13 +12,14 @@ Block and bucket tables are those of the benchmark; documents never move.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import batches, cut, texts, tidied
+from parchmint.llm.common import batches, cut, free, texts, tidied
 
 #: Bytes that words are made of stay, A-Z become a-z, all others become spaces.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -153,15 +154,26 @@ def _record(ids, n, hits, items) -> pa.RecordBatch:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int):
-    """The items in blocks of a bounded size, each a broadcast of its own."""
+    """The number of blocks of a bounded size, and the items block by block, each a broadcast of its own.
+
+    The driver holds one block at a time. Where there are several, a broadcast is destroyed once the next is asked for:
+    by then its pass must be done.
+    """
     spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        rows = [(r.item, r.text) for r in part.toLocalIterator()]
-        yield spark.sparkContext.broadcast((hashlib.sha256(repr(rows).encode("utf-8", "surrogatepass")).hexdigest(), rows)), n
+
+    def each():
+        for k in range(n):
+            part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+            rows = [(r.item, r.text) for r in part.collect()]
+            held = spark.sparkContext.broadcast((hashlib.sha256(repr(rows).encode("utf-8", "surrogatepass")).hexdigest(), rows))
+            yield held
+            if n > 1:
+                held.destroy()
+
+    return n, each()
 
 
 _held: dict = {}
@@ -184,13 +196,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     columns are left out. An empty benchmark hits nothing.
 
     A benchmark of up to block_chars characters is one broadcast and one narrow pass. A larger one is searched block
-    by block; each pass then gives a bit for each word, and the bits are joined per row. For that the rows are written
-    once to the shared folder, so that all passes number them alike.
+    by block; each pass then gives a bit for each word of the rows that it hits, and the bits are joined per row. For
+    that the rows are written once to the shared folder, so that all passes number them alike, and so is what each
+    pass finds, so that only one block is held at a time.
     """
     rows = texts(docs, id_col, text_col)
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_chars))
-    if len(blocks) == 1:
-        held = blocks[0][0]
+    n_blocks, blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    if n_blocks == 1:
+        held = next(blocks)
 
         def run(parts):
             index = _index(held, size)
@@ -202,20 +215,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
         return rows.mapInArrow(tidied(run), SCHEMA)
 
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
-    passes = None
-    for held, _ in blocks:
+    found = []
+    for k, held in enumerate(blocks):
 
-        def flagged(parts, held=held):
+        def flagged(parts, held=held, first=not k):
             index = _index(held, size)
             for part in parts:
                 for a, b in batches(part.column(1)):
                     got = scan(index, part.column(1).slice(a, b - a).to_pylist())
+                    keep = pa.array([first or g[1] is not None for g in got], pa.bool_())  # every row comes at least once
                     bits = [None if g[1] is None else np.packbits(g[1]).tobytes() for g in got]
-                    yield pa.RecordBatch.from_pydict({"rid": part.column(2).slice(a, b - a), "doc_id": part.column(0).slice(a, b - a), "n_words": pa.array([g[0] for g in got], pa.int64()), "bits": pa.array(bits, pa.binary()), "items": pa.array([sorted(g[2]) for g in got], pa.list_(pa.string()))})
+                    yield pa.RecordBatch.from_pydict({"rid": part.column(2).slice(a, b - a), "doc_id": part.column(0).slice(a, b - a), "n_words": pa.array([g[0] for g in got], pa.int64()), "bits": pa.array(bits, pa.binary()), "items": pa.array([sorted(g[2]) for g in got], pa.list_(pa.string()))}).filter(keep)
 
-        one = rows.mapInArrow(tidied(flagged), "rid long, doc_id long, n_words long, bits binary, items array<string>")
-        passes = one if passes is None else passes.unionAll(one)
-    joined = passes.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("bits").alias("bits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        found.append(cut(rows.mapInArrow(tidied(flagged), "rid long, doc_id long, n_words long, bits binary, items array<string>")))
+    joined = reduce(DataFrame.unionAll, found).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("bits").alias("bits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def merged(parts):
         for part in parts:
@@ -231,9 +244,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of an item. One narrow pass for each block of items."""
+    """The rows of docs, with all their columns, that hold no window of an item. One narrow pass for each block of items.
+
+    With several blocks, what a pass keeps is written to the shared folder, so that only one block is held at a time.
+    """
     at = docs.columns.index(text_col)
-    for held, _ in _blocks(benchmark, item_col, item_text_col, block_chars):
+    n_blocks, blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    before = None
+    for held in blocks:
 
         def run(parts, held=held):
             index = _index(held, size)
@@ -243,6 +261,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col:
                     yield piece.filter(pa.array([hit is None for _, hit, _ in scan(index, piece.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(tidied(run), docs.schema)
+        if n_blocks > 1:
+            docs, old = cut(docs), before
+            before = docs
+            if old is not None:
+                free(old)
     return docs
 
 

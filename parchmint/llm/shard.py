@@ -5,7 +5,9 @@ In the order of fractional ranks every stretch holds the sources in the corpus'
 into equal stretches gives shards that match it.
 
 No window ever covers a whole source or the whole table: rows are binned by their random key, only counts per bin are
-summed up along, and the rank inside a bin is added. The number of bins follows the number of rows.
+summed up along, and the rank inside a bin is added. The number of bins follows the number of rows. Sums run along bins
+in two levels, so that no task holds more counts than about the square root of the number of bins. (Rows that repeat
+with their id share a bin, since they share a key.)
 """
 
 from __future__ import annotations
@@ -17,6 +19,17 @@ from pyspark.sql import functions as F
 BIN_ROWS = 500
 
 
+def _ahead(counts: DataFrame, at: str, wide: int, *within: str) -> DataFrame:
+    """before: the sum of n over all rows of smaller `at` (within the same `within`), in two levels of spans of `wide`."""
+    spans = counts.withColumn("span", F.floor(F.col(at) / wide).cast("long"))
+    inside = Window.partitionBy(*within, "span").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*within).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spans.groupBy(*within, "span").agg(F.sum("n").alias("n_span"))
+    sums = sums.select(*within, "span", F.coalesce(F.sum("n_span").over(along), F.lit(0)).alias("base"))
+    told = spans.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, [*within, "span"])
+    return told.select(*within, at, (F.col("base") + F.col("ahead")).alias("before"))
+
+
 def interleave(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bin_rows: int = BIN_ROWS) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law ("rows"), shard, slot, and grown_shard (null under this law).
 
@@ -37,9 +50,10 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "
     rows = rows.withColumn("bin", F.least("bin", F.lit(bins - 1)))
 
     # the rank within a source: rows in earlier bins, and the rank inside the bin
-    ahead = Window.partitionBy("stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    wide = max(1, int(bins**0.5))
     counts = rows.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
-    offsets = counts.select("stratum", "bin", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("stratum")).alias("n_source"))
+    sources = counts.groupBy("stratum").agg(F.sum("n").alias("n_source"))
+    offsets = _ahead(counts, "bin", wide, "stratum").join(sources, "stratum")
     order = ["key", "doc_id", "text_crc32", "size"]
     inside = Window.partitionBy("stratum", "bin").orderBy(F.shiftrightunsigned("key", 1), *order)
     ranked = rows.withColumn("r", F.row_number().over(inside)).join(offsets, ["stratum", "bin"])
@@ -48,13 +62,7 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "
     ranked = ranked.withColumn("stretch", F.least(F.floor(F.col("fraction") * bins).cast("long"), F.lit(bins - 1))).drop("bin", "r", "before", "n_source")
 
     # the place in the whole order: rows in earlier stretches, and the place inside the stretch
-    # sums run along the stretches in two levels, so that no task holds more than the square root of their number
-    wide = max(1, int(bins**0.5))
-    lengths = ranked.groupBy("stretch").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("stretch") / wide).cast("long"))
-    spans = lengths.groupBy("span").agg(F.sum("n").alias("n_span"))
-    spans = spans.select("span", F.coalesce(F.sum("n_span").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = Window.partitionBy("span").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    places = lengths.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0))).join(spans, "span").select("stretch", (F.col("base") + F.col("ahead")).alias("before"))
+    places = _ahead(ranked.groupBy("stretch").agg(F.count("*").alias("n")), "stretch", wide)
     inside = Window.partitionBy("stretch").orderBy("fraction", "stratum", *order)
     placed = ranked.withColumn("r", F.row_number().over(inside)).join(places, "stretch").withColumn("place", F.col("before") + F.col("r") - 1)
 

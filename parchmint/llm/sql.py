@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parchmint.llm.secrets import ACCESS, ASSIGN, HEX, KINDS, OPAQUE, OWNERS
+from parchmint.llm.secrets import ACCESS, ASSIGN, HEX, KINDS, OPAQUE, OWNERS, REPOS
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -41,11 +41,11 @@ base AS (SELECT * FROM found WHERE (o = 0 AND length(secret) >= 8) OR (o = 1 AND
 opaque AS (SELECT * FROM found f WHERE o = 3 AND regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[A-Z]')
  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
-owners AS (SELECT secret, count(DISTINCT source) AS n FROM spans GROUP BY secret),
+owners AS (SELECT secret, count(DISTINCT coalesce('s' || source, '')) AS n, count(DISTINCT struct_pack(o := source, r := doc_id)) AS r FROM spans GROUP BY secret),
 kept AS (SELECT * FROM spans JOIN owners USING (secret) WHERE o < 3 OR n < 2),
 told AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3), '')) AS base_sha256,
- string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans, count(*) FILTER (n < {OWNERS}) AS n_live, count(*) FILTER (n >= {OWNERS}) AS n_copied FROM kept GROUP BY doc_id)
+ string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans, count(*) FILTER (n < {OWNERS} AND r < {REPOS}) AS n_live, count(*) FILTER (n >= {OWNERS} OR r >= {REPOS}) AS n_copied FROM kept GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256,
  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN told USING (doc_id)"""
 

@@ -20,14 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut, shared_folder, tidied
+from parchmint.llm.common import cut, delete, shared_folder, small_side, tidied
 
 SEGMENT = 16 << 10
 CHUNK = 4 << 10
 #: Records in a file, at most: what one reader holds at a time stays bounded.
 FILE_RECORDS = 4000
-#: Rows of groups of equal payloads that are broadcast at most; beyond, both sides are shuffled.
-BROADCAST_ROWS = 50_000
 DATE = "2024-01-01T00:00:00Z"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -85,9 +83,18 @@ def response(name: str, page, url: str | None, payload: bytes, segment: int = SE
     return out
 
 
-def revisit(name: str, page, url: str | None, payload: bytes, refers_to) -> bytes:
-    """A record without the payload, whose HTTP head tells the payload's length."""
-    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _line(url)), ("Page-ID", "" if page is None else page), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+def record_name(page, unique: bool, place: str) -> str:
+    """A record's id: by the page where that is the only row of its id, else also by its place in the archives."""
+    return f"urn:page:{page}" if unique else f"urn:page:{'' if page is None else page}:{place}"
+
+
+def revisit(name: str, page, url: str | None, payload: bytes, refers_to, refers_unique: bool = True) -> bytes:
+    """A record without the payload, whose HTTP head tells the payload's length.
+
+    It refers to the response's record by its id, where the page's id is that of one row only, and always to the page.
+    """
+    known = [("WARC-Refers-To", f"<{record_name(refers_to, True, '')}>")] if refers_unique else []
+    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _line(url)), ("Page-ID", "" if page is None else page), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *known, ("Page-Refers-To", refers_to), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
     return record(fields, b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload))
 
 
@@ -125,7 +132,7 @@ def unpacked(data: bytes) -> bytes:
 def roles(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, payload and refers_to: of equal payloads of min_bytes at least, all but that with the largest id refer to it.
 
-    A null html is an empty payload. A null id is never the largest; without any id in a group all are responses. Rows
+    unique and refers_unique tell whether the row's id, and that which it refers to, are ids of one row only. A null html is an empty payload. A null id is never the largest; without any id in a group all are responses. Rows
     that repeat the largest id are responses each.
     """
     body = F.coalesce(F.encode(F.col(f"`{html_col}`").cast("string"), "UTF-8"), F.lit(b""))
@@ -133,10 +140,15 @@ def roles(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col
     key = [F.sha1("payload").alias("k"), F.octet_length("payload").alias("n_bytes")]
     groups = rows.select("page_id", *key).where(F.col("n_bytes") >= min_bytes).groupBy("k", "n_bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1")
     groups = cut(groups.select("k", F.col("n_bytes").alias("n_of_group"), "owner"))
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    joined = rows.withColumn("k", F.sha1("payload")).join(groups, "k", "left")
-    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")).alias("refers_to"))
+    joined = rows.withColumn("k", F.sha1("payload")).join(small_side(groups), "k", "left")
+    out = joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")).alias("refers_to"))
+    often = cut(rows.where("page_id IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select("page_id"))
+    if often.isEmpty():
+        return out.select("*", F.col("page_id").isNotNull().alias("unique"), F.lit(True).alias("refers_unique"))
+    side = small_side(often)
+    out = out.join(side.select("page_id", F.lit(False).alias("unique")), "page_id", "left")
+    out = out.join(side.select(F.col("page_id").alias("refers_to"), F.lit(False).alias("refers_unique")), "refers_to", "left")
+    return out.select("page_id", "url", "payload", "refers_to", (F.coalesce("unique", F.lit(True)) & F.col("page_id").isNotNull()).alias("unique"), F.coalesce("refers_unique", F.lit(True)).alias("refers_unique"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment: int = SEGMENT, **columns) -> None:
@@ -146,9 +158,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment: i
         task, n = TaskContext.get().partitionId(), 0
         for part in parts:
             out = []
-            for page, url, payload, refers_to in zip(*(part.column(i).to_pylist() for i in range(4))):
-                name, n = f"urn:record:{'' if page is None else page}-{task}-{n}", n + 1
-                out += response(name, page, url, payload, segment) if refers_to is None else [revisit(name, page, url, payload, refers_to)]
+            for page, url, payload, refers_to, unique, refers_unique in zip(*(part.column(i).to_pylist() for i in range(6))):
+                name, n = record_name(page, unique, f"{task}-{n}"), n + 1
+                out += response(name, page, url, payload, segment) if refers_to is None else [revisit(name, page, url, payload, refers_to, refers_unique)]
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
 
     records = roles(pages, min_bytes, **columns).mapInArrow(tidied(build), "value binary")
@@ -171,8 +183,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
             for data in part.column(0):
                 rows = []
                 for f, block in parse(unpacked(data.as_py())):
-                    refers = f.get("warc-refers-to", "").strip("<>").rpartition(":")[2]
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), _number(f.get("page-id")), f["warc-type"], _number(refers), f.get("warc-payload-digest", "")[5:] or None, int(f.get("warc-segment-number", 1)), _number(f.get("warc-segment-total-length")), block))
+                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), _number(f.get("page-id")), f["warc-type"], _number(f.get("page-refers-to")), f.get("warc-payload-digest", "")[5:] or None, int(f.get("warc-segment-number", 1)), _number(f.get("warc-segment-total-length")), block))
                     if len(rows) == 512:
                         yield _batch(rows)
                         rows = []
@@ -238,11 +249,6 @@ def reassemble(records: DataFrame, with_payload: bool = False) -> DataFrame:
     return grouped.select("page_id", "type", "refers_to", "payload_digest", "segments").mapInArrow(tidied(run), ASSEMBLED + ", payload binary" * with_payload)
 
 
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def op2(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Archives of all pages, written to the shared folder and read back; they are deleted once the rows are kept."""
     folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"

@@ -244,6 +244,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_references_name_records_that_exist(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([*PAGES, (8, "u", "last\r\n\r\n"), (9, "v", "twice"), (9, "v", "twice"), (1, "w", "twice")], "page_id long, url string, html string")
+    pages = pages.withColumns({"k": F.lit("x"), "owner": F.lit(1), "unique": F.lit("u"), "payload": F.lit("p"), "refers_to": F.lit(5)})
+    warc.write_archives(pages, str(tmp_path / "w"), segment=1000)
+    kinds, refers = {}, []
+    for (data,) in spark.read.format("binaryFile").load(str(tmp_path / "w")).select("content").collect():
+        for fields, _ in warc.parse(warc.unpacked(data)):
+            assert fields["warc-record-id"] not in kinds
+            kinds[fields["warc-record-id"]] = fields["warc-type"]
+            if fields["warc-type"] == "revisit":
+                refers.append((fields.get("warc-refers-to"), int(fields["page-refers-to"])))
+    assert all(kinds[r] == "response" for r, _ in refers if r)
+    assert {p for r, p in refers if not r} == {9} and {p for r, p in refers if r} == {2, 5, 8}
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.reassemble(warc.read_records(spark, str(tmp_path / "w"))).collect())
+    assert got == [(0, "revisit", 2), (1, "revisit", 2), (1, "revisit", 9), (2, "response", 0), (3, "response", 0), (4, "revisit", 5), (5, "response", 0), (6, "response", 0), (7, "revisit", 8), (7, "revisit", 8), (8, "response", 0), (9, "response", 0), (9, "response", 0)]
+
+
+def test_long_payloads_come_back_whole(spark, tmp_path):
+    long = "☃<p>\r\n0\r\n\r\n" * 300_000
+    warc.write_archives(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string"), str(tmp_path / "w"))
+    (row,) = warc.reassemble(warc.read_records(spark, str(tmp_path / "w")), with_payload=True).collect()
+    assert row.intact and bytes(row.payload) == long.encode()
+
+
 def test_warc_least_size_and_missing_segments(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "x" * 5000)], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"), min_bytes=3, segment=1000)
