@@ -43,10 +43,12 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "
         (F.octet_length(body) + 16).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("null")).alias("stratum"),
-    ).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    )
+    told = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32", "size")
+    rows = rows.withColumn("key", F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long"))  # 60 random bits
     total = docs.count()
     bins = max(1, -(-total // bin_rows))
-    rows = rows.withColumn("bin", F.floor((F.shiftrightunsigned("key", 1) / F.lit(2.0**63)) * bins).cast("long"))
+    rows = rows.withColumn("bin", F.floor((F.col("key") / F.lit(2.0**60)) * bins).cast("long"))
     rows = rows.withColumn("bin", F.least("bin", F.lit(bins - 1)))
 
     # the rank within a source: rows in earlier bins, and the rank inside the bin
@@ -55,7 +57,7 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "
     sources = counts.groupBy("stratum").agg(F.sum("n").alias("n_source"))
     offsets = _ahead(counts, "bin", wide, "stratum").join(sources, "stratum")
     order = ["key", "doc_id", "text_crc32", "size"]
-    inside = Window.partitionBy("stratum", "bin").orderBy(F.shiftrightunsigned("key", 1), *order)
+    inside = Window.partitionBy("stratum", "bin").orderBy(*order)
     ranked = rows.withColumn("r", F.row_number().over(inside)).join(offsets, ["stratum", "bin"])
     # exact integers: twice the rank less one, over twice the rows of the source
     ranked = ranked.withColumn("fraction", (2 * (F.col("before") + F.col("r")) - 1) / (2 * F.col("n_source")))

@@ -50,6 +50,25 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN told USING (doc_id)"""
 
 
+_CRC_TABLE = "list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+_CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode(h)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+SHARDING = f"""WITH t AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+d AS MATERIALIZED (SELECT doc_id, (strlen(h) + 16)::BIGINT AS size, ({_CRC})::BIGINT AS text_crc32, s FROM (SELECT doc_id, coalesce(text, '') AS h, coalesce('s' || source, 'null') AS s FROM documents), t),
+k AS (SELECT *, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32 || ':' || size), 1, 15))::BIGINT AS key FROM d),
+f AS (SELECT *, (2 * row_number() OVER (PARTITION BY s ORDER BY key, doc_id, text_crc32, size) - 1) / (2 * count(*) OVER (PARTITION BY s)) AS fraction, count(*) OVER () AS total FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, s, key, doc_id, text_crc32, size) - 1 AS place FROM f)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 40 // total)::INT AS shard, (place - (place * 40 // total * total + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM p"""
+
+
+JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL) JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id, coalesce(n_links, 0) AS n_links FROM documents LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, min(y) AS least_id FROM reach GROUP BY x) USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY x) USING (doc_id)"""
+
+
 def _words(table: str, key: str) -> str:
     lowered = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
     return f"SELECT {key}, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"

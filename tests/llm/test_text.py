@@ -196,13 +196,14 @@ def test_shards_follow_the_order_of_fractional_ranks(docs, rows):
     keyed = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("body"))
     crc, size = F.crc32(F.encode("body", "UTF-8")), (F.octet_length("body") + 16).cast("long")
     keyed = keyed.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("s"), crc.alias("crc"), size.alias("size"))
-    told = [tuple(r) for r in keyed.select("doc_id", "s", "crc", "size", F.xxhash64(F.lit(7), "doc_id", "crc", "size").alias("key")).collect()]
+    key = lambda i, c, n: int(hashlib.md5(f"7:{'null' if i is None else i}:{c}:{n}".encode()).hexdigest()[:15], 16)
+    told = [(*r, key(r.doc_id, r.crc, r["size"])) for r in keyed.select("doc_id", "s", "crc", "size").collect()]
     by: dict = {}
     for r in told:
         by.setdefault(r[1], []).append(r)
     order = []
     for s, members in by.items():
-        members.sort(key=lambda r: r[4] % (1 << 64) >> 1)
+        members.sort(key=lambda r: r[4])
         order += [((2 * i + 1) / (2 * len(members)), s, r) for i, r in enumerate(members)]
     order.sort(key=lambda x: x[:2])
     shards = 7
