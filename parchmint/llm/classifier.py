@@ -23,7 +23,9 @@ BITS = 18
 GRAMS = (3, 4, 5)
 #: Labelled rows to learn from, and bytes of their texts, at most.
 SAMPLE = 4000
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES = 16 << 20
+#: Bytes of text whose features are taken at a time.
+PART_BYTES = 1 << 20
 DIM = 8
 THRESHOLD = 0.7
 
@@ -70,13 +72,13 @@ def features(values: list[str | None]):
 
 
 def counted(values: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text its buckets and how often each occurs."""
+    """Per text its buckets and the share of its features that each has."""
     parts = list(features(values))
     bucket = np.concatenate([b for b, _ in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
     doc = np.concatenate([d for _, d in parts]) if parts else np.zeros(0, np.int64)
     keys, n = np.unique((doc << BITS) | bucket, return_counts=True)
     cuts = np.searchsorted(keys, np.arange(len(values) + 1) << BITS)
-    return [(keys[a:b] & ((1 << BITS) - 1), n[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    return [((keys[a:b] & ((1 << BITS) - 1)).astype(np.int32), (n[a:b] / max(1, n[a:b].sum())).astype(np.float32)) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def backward(mean: np.ndarray, layer: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, ra
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     layer = np.zeros((2, DIM), dtype=np.float32)
-    samples = [(b, (n / n.sum()).astype(np.float32), y) for b, n, y in samples if len(b)]
+    samples = [s for s in samples if len(s[0])]
     total, done = max(1, epochs * len(samples)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(samples)):
@@ -120,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
 
     The sample is that with the smallest hashes of their ids; where an id has several labels the largest counts, and
     where it has several texts that with the smallest hash. Only sampled ids (a bounded number) are broadcast; the
-    sampled texts are gathered by a shuffle, their features are taken on the executors, and the driver gets counts per
+    sampled texts are gathered by a shuffle, their features are taken on the executors, and the driver gets shares per
     bucket in one job, whatever the number of partitions.
     """
     wanted = (
@@ -149,13 +151,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
 
     def run(parts):
         for part in parts:
-            for a, b in batches(part.column(1)):
+            for a, b in batches(part.column(1), PART_BYTES):
                 got = counted(part.column(1).slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).slice(a, b - a), "buckets": pa.array([x.astype("<i4").tobytes() for x, _ in got], pa.binary()), "counts": pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).slice(a, b - a), "buckets": pa.array([x.tobytes() for x, _ in got], pa.binary()), "shares": pa.array([x.tobytes() for _, x in got], pa.binary())})
 
-    found = bounded.mapInArrow(tidied(run), "doc_id long, buckets binary, counts binary").collect()
+    found = bounded.mapInArrow(tidied(run), "doc_id long, buckets binary, shares binary").collect()
     free(held)
-    return train([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u4"), known[r.doc_id]) for r in sorted(found, key=lambda r: r.doc_id)])
+    return train([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.shares, "<f4"), known[r.doc_id]) for r in sorted(found, key=lambda r: r.doc_id)])
 
 
 def score_documents(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +170,7 @@ def score_documents(docs: DataFrame, table: np.ndarray, threshold: float = THRES
 
     def run(parts):
         for part in parts:
-            for a, b in batches(part.column(2)):
+            for a, b in batches(part.column(2), PART_BYTES):
                 got = score(held.value, part.column(2).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).slice(a, b - a), "held_out": part.column(1).slice(a, b - a), "score": pa.array(got, pa.float64()), "predicted": pa.array((got >= threshold).astype(np.int32), pa.int32())})
 
