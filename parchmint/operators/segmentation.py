@@ -95,7 +95,7 @@ def fit_boundaries(pairs: DataFrame, grid: tuple[float, ...] = (0.01, 0.1, 1.0),
     for label, n in sizes.items():
         weight = F.when(F.col("label") == label, total / (len(sizes) * n)).otherwise(weight)
     data = pairs.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight"))
-    model = LogisticRegression(maxIter=max_iter, weightCol="weight", standardization=False)
+    model = LogisticRegression(maxIter=max_iter, tol=1e-4, weightCol="weight", standardization=False)
     params = ParamGridBuilder().addGrid(model.regParam, [1 / (c * total) for c in grid]).build()
     judge = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
     return CrossValidator(estimator=model, estimatorParamMaps=params, evaluator=judge, numFolds=folds, seed=seed).fit(data)

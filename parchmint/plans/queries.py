@@ -16,6 +16,7 @@ from parchmint.operators import metrics as E
 from parchmint.operators import segmentation as S
 from parchmint.operators import splitters as P
 from parchmint.operators.keywords import keyword_summary, keywords
+from parchmint.plans.benchmark import benchmark
 from parchmint.plans.process import PipelineConfig, chunk_rows, process
 from parchmint.sources.files import decode_files, read_boundaries, read_dataset, read_labelled, read_results
 from parchmint.sources.sinks import scratch, write_boundaries, write_csv, write_json, write_labelled
@@ -603,6 +604,16 @@ def wide_results(spark, sf_dir):
     return wide.select("doc_id", *[F.round(c, 9).alias(c) for c in wide.columns if c != "doc_id"])
 
 
+@query()
+def benchmark_run(spark, sf_dir):
+    """All eight methods and four scores over documents of ten conversations, learned from the train part of them."""
+    rows = turns(spark, sf_dir).withColumns({"minilm": _hashed_embedding(F.col("sentence")), "rubert": _hashed_embedding(F.col("sentence"), 8)})
+    parts = D.train_test_split(rows.select("doc_id").distinct())
+    split = rows.join(parts, "doc_id")
+    wide = benchmark(rows, split.where(~F.col("is_test")).drop("is_test")).join(parts, "doc_id")
+    return wide.select("doc_id", "is_test", "n_sentences", *[F.round(c, 9).alias(c) for c in wide.columns if c not in ("doc_id", "is_test", "n_sentences")])
+
+
 @query()
 def bootstrap_interval(spark, sf_dir):
     return E.bootstrap_ci(E.scores(E.boundaries(segmented(spark, sf_dir))).select("doc_id", "pk"), "pk")

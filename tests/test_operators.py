@@ -210,3 +210,65 @@ def test_bootstrap_and_summaries(spark):
     cv = D.cross_validated(D.folds(df), ["v"], ["method"]).first()
     assert cv.v_std >= 0
     assert json.loads(df.limit(1).toJSON().first())["method"] == "m"
+
+
+def brute_scores(labels, chunks, vectors):
+    """pk, windowdiff, similarity within chunks and F1 of one document, chunk by chunk."""
+    n = len(labels)
+    true = {i - 1 for i in range(1, n) if labels[i] == 1}
+    pred = {max(c) for c in chunks if c and max(c) < n - 1}
+    k = max(1, n // 20)
+    starts = range(n - k)
+    count = lambda s, i: sum(x in s for x in range(i, i + k))
+    pk = sum((count(true, i) > 0) != (count(pred, i) > 0) for i in starts) / (n - k) if n > k else 0.0
+    wd = sum(abs(count(true, i) - count(pred, i)) for i in starts) / (n - k) if n > k else 0.0
+    free, hits = sorted(pred), 0
+    for t in sorted(true):
+        near = next((p for p in free if abs(p - t) <= 1), None)
+        if near is not None:
+            free.remove(near)
+            hits += 1
+    f1 = 1.0 if not true and not pred else 2 * hits / (len(true) + len(pred)) if hits else 0.0
+    cos = lambda a, b: a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
+    sims = [np.mean([cos(vectors[i], vectors[j]) for x, i in enumerate(c) for j in c[x + 1 :]]) for c in chunks if len(c) > 1]
+    return pk, wd, float(np.mean(sims)) if sims else 0.0, f1
+
+
+def test_benchmark_run_against_brute_force(spark):
+    from parchmint.plans.benchmark import METHODS, METRICS, benchmark, splitter_chunks
+    from parchmint.operators.splitters import SplitterConfig
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for d, n in enumerate((1, 2, 9, 45)):
+        for i in range(n):
+            words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"], 6))
+            rows.append((d, i, f"Sentence {words}.", int(i == 0 or rng.random() < 0.3), rng.random(4).tolist(), rng.random(3).tolist()))
+    schema = "doc_id long, pos int, sentence string, label int, minilm array<float>, rubert array<float>"
+    df = spark.createDataFrame(rows, schema)
+    config = SplitterConfig(min_chunk_size=60, max_chunk_size=120, target_chunks_alpha=4)
+    got = {r.doc_id: r for r in benchmark(df, df, config, max_iter=20).collect()}
+    assert set(got) == {0, 1, 2, 3} and len(got[0]) == 2 + len(METHODS) * len(METRICS)
+    assert [got[0][f"sup_{m}"] for m in METRICS] == [0.0] * 4
+    splits = {name: c.collect() for name, c in splitter_chunks(df, config).items()}
+    for d, n in enumerate((1, 2, 9, 45)):
+        mine = [r for r in rows if r[0] == d]
+        labels, vectors, other = [r[3] for r in mine], np.array([r[4] for r in mine], np.float32).astype(float), np.array([r[5] for r in mine], np.float32).astype(float)
+        gaps = lambda v: [1 - v[i] @ v[i + 1] / np.linalg.norm(v[i]) / np.linalg.norm(v[i + 1]) for i in range(n - 1)]
+
+        def cut(after):
+            edges = [0, *(i + 1 for i in sorted(after)), n]
+            return [list(range(a, b)) for a, b in zip(edges, edges[1:])]
+
+        k = 1 + sum(labels[1:])
+        widest = lambda v: sorted(range(n - 1), key=lambda i: (-gaps(v)[i], i))[: k - 1]
+        want = {"gr": (cut([i for i, g in enumerate(gaps(vectors)) if 1 - g < 0.5]), vectors), "hier_oracle_minilm": (cut(widest(vectors)), vectors), "hier_oracle_rubert": (cut(widest(other)), other)}
+        assert any(not any(r.doc_id == 0 for r in found) for found in splits.values())  # a document without chunks
+        for name, found in splits.items():
+            by: dict = {}
+            for r in found:
+                if r.doc_id == d:
+                    by.setdefault(r.chunk_no, []).append(r.pos)
+            want[name] = ([sorted(c) for c in by.values()], vectors)
+        for name, (chunks, v) in want.items():
+            assert [got[d][f"{name}_{m}"] for m in METRICS] == pytest.approx(brute_scores(labels, chunks, v), abs=1e-6), (d, name)
