@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parchmint.functions.spans import let
-from parchmint.functions.text import WS, strip, strip_start
+from parchmint.functions.text import BLANK, WS, strip, strip_start
 
 # Words, symbols and patterns that speak for code or for prose.
 KEYWORDS = """
@@ -38,8 +38,8 @@ def is_likely_text(line: Column) -> Column:
     def told(x):
         bare = x["bare"]
         sentence = bare.rlike(r"\A\p{Lu}") & F.substring(bare, -1, 1).isin(".", "!", "?") & (F.length(bare) > 1)
-        many = (F.size(F.split(bare, f"{WS}+")) > 5) & (x["symbols"] < 0.05 * F.length(bare))
-        common = (x["symbols"] < 3) & F.arrays_overlap(F.split(F.lower(bare), f"{WS}+"), F.array(*map(F.lit, PROSE)))
+        many = (F.size(F.split(bare, f"{BLANK}+")) > 5) & (x["symbols"] < 0.05 * F.length(bare))
+        common = (x["symbols"] < 3) & F.arrays_overlap(F.split(F.lower(bare), f"{BLANK}+"), F.array(*map(F.lit, PROSE)))
         return (bare != "") & (sentence | many | common)
 
     return let(strip(line), lambda bare: let(F.struct(bare.alias("bare"), symbol_count(bare).alias("symbols")), told))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parchmint.functions.spans import let
-from parchmint.functions.text import WS, strip, words
+from parchmint.functions.text import BLANK, strip, words
 
 # Words that are no keywords, Russian and English.
 STOP_WORDS_RU = """
@@ -40,7 +40,7 @@ STATISTICS = ("word_count", "sentence_count", "character_count", "avg_word_lengt
 def clean_for_analysis(c: Column) -> Column:
     """Without formula placeholders, in lower case, with single spaces."""
     bare = F.lower(F.regexp_replace(c, r"(?d)\[\[FORMULA_.*?\]\]", ""))
-    return strip(F.regexp_replace(bare, f"{WS}+", " "))
+    return strip(F.regexp_replace(bare, f"{BLANK}+", " "))
 
 
 def text_statistics(c: Column) -> Column:

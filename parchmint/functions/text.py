@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # The white space that a regular expression's \s stands for in the data model.
 SPACE_CHARS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{SPACE_CHARS}]"
-#: The same without the line feed.
+#: The same, with a first look that most characters fail at once (for Spark's expressions only).
+BLANK = f"[[^!-~]&&{WS}]"
+#: The same as WS without the line feed.
 INLINE = r"[\t\x{0b}-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]+"
 #: The characters of WS.
@@ -38,12 +40,12 @@ def words(c: Column) -> Column:
 
 def remove_invisible(c: Column) -> Column:
     """Byte-order marks and zero-width characters go, wherever they are."""
-    return F.regexp_replace(c, r"[\x{FEFF}\x{FFFE}\x{200B}-\x{200D}]", "")
+    return F.regexp_replace(c, r"[[^\x00-\x7F]&&[\x{FEFF}\x{FFFE}\x{200B}-\x{200D}]]", "")
 
 
 def normalize_linebreaks(c: Column) -> Column:
     """Line ends become LF; three and more become two; none at either end."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"\r\n|\r", "\n"), r"\n{3,}", "\n\n"), F.lit("\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"\n\n\n+", "\n\n"), F.lit("\n"))
 
 
 def join_hyphenated(c: Column) -> Column:
@@ -63,7 +65,7 @@ def normalize_punctuation(c: Column) -> Column:
     """Straight quotes and hyphens; no space before punctuation, one between it and a letter."""
     c = F.regexp_replace(c, "[«»„‟\"＂]", '"')
     c = F.regexp_replace(c, "[–—]", "-")
-    c = F.regexp_replace(c, rf"(?<!{WS}){WS}++([.,;:!?])", "$1")  # tried once for each run of white space
+    c = F.regexp_replace(c, rf"(?<!{BLANK}){BLANK}++([.,;:!?])", "$1")  # tried once for each run of white space
     return F.regexp_replace(c, "([.,;:!?])([А-Яа-яA-Za-z])", "$1 $2")
 
 
@@ -83,11 +85,11 @@ def normalization_stats(before: Column, after: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Only line ends, runs of spaces and tabs, and both ends."""
-    return strip(F.regexp_replace(F.regexp_replace(c, r"\r\n|\r", "\n"), r"[ \t]+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[ \t]+", " "))
 
 
 def split_sentences_raw(c: Column) -> Column:
-    return F.split(c, rf"(?<=[.!?]){WS}+", -1)
+    return F.split(c, rf"(?<=[.!?]){BLANK}+", -1)
 
 
 def sentences(c: Column) -> Column:

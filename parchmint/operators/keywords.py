@@ -19,9 +19,9 @@ def frequencies(words: Column) -> Column:
     def runs(placed, starts):
         ends = F.slice(F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(placed))), 1, F.size(starts))
         each = F.zip_with(starts, ends, lambda i, j: F.struct((i - j).alias("less"), F.get(placed, i)["i"].alias("first"), F.get(placed, i)["w"].alias("term")))
-        return F.transform(F.array_sort(each), lambda x: F.struct(x["term"].alias("term"), (-x["less"]).cast("bigint").alias("frequency")))
+        return F.transform(F.sort_array(each), lambda x: F.struct(x["term"].alias("term"), (-x["less"]).cast("bigint").alias("frequency")))
 
-    return let(F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), counted)
+    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), counted)
 
 
 def keywords(docs: DataFrame, top_n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
