@@ -3,8 +3,8 @@
 Matching strings are brought together before suffixes are sorted, without loss. Over each string of `length` bytes the
 least hash of its K-grams is taken; equal strings have equal least hashes, and neighbouring strings mostly share one,
 so a document falls into runs of start positions, each with one hash. A run whose hash occurs nowhere else holds no
-repeated string. A run whose bytes all occur again is repeated as a whole. Only the rest, runs of equal hash and
-different bytes, go into shards by hash.
+repeated string. Runs of equal hash and equal bytes (all copies are compared byte by byte) are one run that is repeated
+as a whole, and need no sorting against each other. Runs of equal hash and different bytes go into shards by hash.
 
 Each shard is sorted by Larsson-Sadakane refinement (prefix doubling over groups that are still unsorted), and Kasai's
 algorithm gives the common prefixes of neighbours: starts whose neighbour shares `length` bytes are repeated. A hash
@@ -15,6 +15,9 @@ binary search over sorted fingerprints.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -197,21 +200,23 @@ def _hashes(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("raw").mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def _occurrences(rows: DataFrame, held, length: int) -> DataFrame:
-    """Each run whose hash the filter of shared hashes lets pass: its hash, a digest of its bytes, where it is."""
-    names = ["h", "p1", "p2", "k1", "k2", "s", "c", "again"]
+def _occurrences(rows: DataFrame, held, length: int, name, with_bytes: bool = False) -> DataFrame:
+    """Each run whose hash the filter of shared hashes lets pass: its hash, a digest of its bytes, where it is; and its bytes."""
+    names = ["h", "p1", "p2", "k1", "k2", "s", "c", "again"] + ["body"] * with_bytes
 
     def run(parts):
         shared = np.frombuffer(held.value, np.uint8)
         for part in parts:
-            out = [[] for _ in names]
+            out, bodies = [[] for _ in names[:8]], []
             for raw, k1, k2 in zip(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist()):
                 raw = raw.as_buffer().to_pybytes()
                 h, start, count, again = runs(raw, length)
                 keep = passes(shared, h)
                 if not len(keep):
                     continue
-                digests = b"".join(xxhash.xxh3_128_digest(raw[s : s + c + length - 1]) for s, c in zip(start[keep].tolist(), count[keep].tolist()))
+                mine = [raw[s : s + c + length - 1] for s, c in zip(start[keep].tolist(), count[keep].tolist())]
+                bodies += mine
+                digests = b"".join(name(x) for x in mine)
                 p = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 same = np.ones(len(keep), np.int64)
                 for into, column in zip(out, (h[keep].view(np.int64), p[:, 0], p[:, 1], same * k1, same * k2, start[keep], count[keep], again[keep])):
@@ -219,9 +224,26 @@ def _occurrences(rows: DataFrame, held, length: int) -> DataFrame:
             if out[0]:
                 arrays = [np.concatenate(x) for x in out]
                 arrays[5], arrays[6] = arrays[5].astype(np.int64), arrays[6].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], names=names)
+                told = [pa.array(np.ascontiguousarray(x)) for x in arrays]
+                yield pa.RecordBatch.from_arrays(told + [pa.array(bodies, pa.binary())] * with_bytes, names=names)
 
-    return rows.select("raw", "k1", "k2").mapInArrow(tidied(run), "h long, p1 long, p2 long, k1 long, k2 long, s long, c int, again boolean")
+    return rows.select("raw", "k1", "k2").mapInArrow(tidied(run), "h long, p1 long, p2 long, k1 long, k2 long, s long, c int, again boolean" + ", body binary" * with_bytes)
+
+
+def _pieces(rows: DataFrame, held, length: int, digest=xxhash.xxh3_128_digest) -> tuple[DataFrame, Callable[[bytes], bytes]]:
+    """The different runs (h, p1, p2) with how many they are (n) and where one is, and the function that names them.
+
+    A digest is only the name of a run: the least and the greatest of all bytes under one name are compared, and if
+    they differ all runs get other names.
+    """
+    for seed in itertools.count():
+        name = partial(digest, seed=seed)
+        seen = _occurrences(rows, held, length, name, with_bytes=True)
+        alike = (F.min("body") == F.max("body")).alias("alike")
+        pieces = cut(seen.groupBy("h", "p1", "p2").agg(F.count("*").alias("n"), F.max("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "s")).alias("at"), alike))
+        if pieces.where("NOT alike").isEmpty():
+            return pieces, name
+        free(pieces)
 
 
 def _with_text(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -317,8 +339,7 @@ def _merged(found: DataFrame) -> DataFrame:
 def spans(rows: DataFrame, length: int) -> DataFrame:
     """Per key (k1, k2) the merged byte ranges to remove, as packed 64-bit pairs; a checkpoint."""
     shared = rows.sparkSession.sparkContext.broadcast(flags(_hashes(rows, length)))  # 16 MB, whatever the corpus
-    seen = cut(_occurrences(rows, shared, length))
-    pieces = cut(seen.groupBy("h", "p1", "p2").agg(F.count("*").alias("n"), F.max("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "s")).alias("at")))
+    pieces, name = _pieces(rows, shared, length)
     hashes = pieces.groupBy("h").agg(F.count("*").alias("different"), F.min("n").alias("least"), F.max("again").alias("any_again"), F.sum(F.col("c") + length).alias("bytes"))
     hashes = cut(hashes.where("least = 1 AND (different > 1 OR any_again)"))
     size = hashes.agg(F.sum("bytes")).first()[0] or 0
@@ -333,6 +354,7 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
     parts = found.where("f1 IS NULL").select("h", "p1", "p2", "a", "b").unionByName(_merged(found)).unionByName(whole)
     parts = cut(parts.groupBy("h", "p1", "p2").agg(F.collect_list(F.struct("a", "b")).alias("parts")))
     free(pieces, found)
+    seen = _occurrences(rows, shared, length, name)
     hits = seen.join(parts, ["h", "p1", "p2"]).select("k1", "k2", F.explode("parts").alias("x"), "s")
     hits = hits.select("k1", "k2", F.struct((F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b") + (length - 1)).alias("b")).alias("x"))
     grouped = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("x")).alias("xs"))
@@ -351,7 +373,7 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"k1": part.column(0), "k2": part.column(1), "spans": pa.array(out, pa.binary())})
 
     out = cut(grouped.mapInArrow(tidied(run), "k1 long, k2 long, spans binary"))
-    free(seen, parts)
+    free(parts)
     return out
 
 

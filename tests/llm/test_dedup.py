@@ -38,6 +38,18 @@ def test_suffix_dedup_by_shuffles(monkeypatch, docs, rows):
     assert got == sorted((r[0] or -1, b[1]) for r, b in zip(rows, brute_repeats([r[1] for r in rows], 200)))
 
 
+def test_runs_of_equal_names_and_different_bytes_get_other_names(spark, docs):
+    def weak(x, seed):
+        return hashlib.blake2b(x if seed > 1 else x[:1], digest_size=16).digest()
+
+    rows = suffix._keyed(docs, "doc_id", "text")
+    held = spark.sparkContext.broadcast(suffix.flags(suffix._hashes(rows, 200)))
+    pieces, name = suffix._pieces(rows, held, 200, weak)
+    assert name.keywords == {"seed": 2}
+    good, first = suffix._pieces(rows, held, 200)
+    assert first.keywords == {"seed": 0} and sorted(r.n for r in pieces.collect()) == sorted(r.n for r in good.collect())
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffix.deduplicate(empty).count() == 0
 
