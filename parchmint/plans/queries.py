@@ -544,8 +544,28 @@ def chunk_sentences(spark, sf_dir):
 
 
 # --- metrics ------------------------------------------------------------------------------------------------------
-_B = f"SELECT doc_id, pos, n, (lead(true_segment) OVER w <> true_segment)::INT AS t, (lead(pred_segment) OVER w <> pred_segment)::INT AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({SEGMENTED})) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
-_W = f"SELECT a.doc_id, a.pos, sum(b.t) AS t, sum(b.p) AS p FROM ({_B}) a JOIN ({_B}) b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + greatest(1, a.n // 20) - 1 WHERE a.pos < a.n - greatest(1, a.n // 20) GROUP BY a.doc_id, a.pos"
+def s_bounds(source: str, keys: str = "doc_id") -> str:
+    w = f"(PARTITION BY {keys} ORDER BY pos)"
+    return f"SELECT {keys}, pos, n, (lead(true_segment) OVER {w} <> true_segment)::INT AS t, (lead(pred_segment) OVER {w} <> pred_segment)::INT AS p FROM (SELECT *, count(*) OVER (PARTITION BY {keys}) AS n FROM ({source}))"
+
+
+def s_windows(source: str, keys: str = "doc_id") -> str:
+    both = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    own = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"SELECT {own}, a.pos, sum(b.t) AS t, sum(b.p) AS p FROM ({s_bounds(source, keys)}) a JOIN ({s_bounds(source, keys)}) b ON {both} AND b.pos BETWEEN a.pos AND a.pos + greatest(1, a.n // 20) - 1 WHERE a.pos < a.n - greatest(1, a.n // 20) GROUP BY {own}, a.pos"
+
+
+def s_boundary_f1(source: str, keys: str = "doc_id") -> str:
+    """Each true boundary in order takes the first free prediction beside it: a step for each, by recursion."""
+    places = f"SELECT {keys}, coalesce(list(pos ORDER BY pos) FILTER (t = 1), []) AS tp, coalesce(list(pos ORDER BY pos) FILTER (p = 1), []) AS pp FROM ({s_bounds(source, keys)}) GROUP BY {keys}"
+    return f"""WITH RECURSIVE m AS (SELECT {keys}, 0 AS k, 0 AS hits, pp AS free, tp, len(pp) AS n FROM ({places})
+ UNION ALL SELECT {keys}, k + 1, hits + (near IS NOT NULL)::INT, CASE WHEN near IS NULL THEN free ELSE list_filter(free, lambda x: x <> near) END, tp, n
+ FROM (SELECT *, list_filter(free, lambda x: abs(x - tp[k + 1]) <= 1)[1] AS near FROM m WHERE k < len(tp)))
+SELECT {keys}, CASE WHEN len(tp) = 0 AND n = 0 THEN 1.0::DOUBLE WHEN hits = 0 THEN 0.0::DOUBLE ELSE 2 * hits / (len(tp) + n) END AS boundary_f1 FROM m WHERE k = len(tp)"""
+
+
+_B = s_bounds(SEGMENTED)
+_W = s_windows(SEGMENTED)
 
 
 @query(f"SELECT doc_id, n::INT AS n, coalesce(pk, 0) AS pk, coalesce(wd, 0) AS windowdiff FROM (SELECT doc_id, count(*) AS n FROM ({TURNS}) GROUP BY doc_id) LEFT JOIN (SELECT doc_id, round(avg(((t > 0) <> (p > 0))::INT), 9) AS pk, round(avg(abs(t - p)), 9) AS wd FROM ({_W}) GROUP BY doc_id) USING (doc_id)")
@@ -554,13 +574,7 @@ def pk_windowdiff(spark, sf_dir):
     return s.select("doc_id", "n", F.round("pk", 9).alias("pk"), F.round("windowdiff", 9).alias("windowdiff"))
 
 
-_PLACES = f"SELECT doc_id, coalesce(list(pos ORDER BY pos) FILTER (t = 1), []) AS tp, coalesce(list(pos ORDER BY pos) FILTER (p = 1), []) AS pp FROM ({_B}) GROUP BY doc_id"
-
-
-@query(f"""WITH RECURSIVE m AS (SELECT doc_id, 0 AS k, 0 AS hits, pp AS free, tp, len(pp) AS n FROM ({_PLACES})
- UNION ALL SELECT doc_id, k + 1, hits + (near IS NOT NULL)::INT, CASE WHEN near IS NULL THEN free ELSE list_filter(free, lambda x: x <> near) END, tp, n
- FROM (SELECT *, list_filter(free, lambda x: abs(x - tp[k + 1]) <= 1)[1] AS near FROM m WHERE k < len(tp)))
-SELECT doc_id, CASE WHEN len(tp) = 0 AND n = 0 THEN 1.0::DOUBLE WHEN hits = 0 THEN 0.0::DOUBLE ELSE 2 * hits / (len(tp) + n) END AS boundary_f1 FROM m WHERE k = len(tp)""")
+@query(s_boundary_f1(SEGMENTED))
 def boundary_f1(spark, sf_dir):
     return E.scores(E.boundaries(segmented(spark, sf_dir))).select("doc_id", "boundary_f1")
 
@@ -584,8 +598,7 @@ def _methods(spark, sf_dir):
 
 
 def _s_methods(step, name):
-    b = _B.replace("pos // 4", f"pos // {step}")
-    w = _W.replace(_B, b)
+    w = s_windows(SEGMENTED.replace("pos // 4", f"pos // {step}"))
     return f"SELECT '{name}' AS method, doc_id, coalesce(pk, 0) AS pk, coalesce(wd, 0) AS windowdiff FROM (SELECT doc_id FROM ({TURNS}) GROUP BY doc_id) LEFT JOIN (SELECT doc_id, avg(((t > 0) <> (p > 0))::INT) AS pk, avg(abs(t - p)) AS wd FROM ({w}) GROUP BY doc_id) USING (doc_id)"
 
 
@@ -614,9 +627,19 @@ def benchmark_run(spark, sf_dir):
     return wide.select("doc_id", "is_test", "n_sentences", *[F.round(c, 9).alias(c) for c in wide.columns if c not in ("doc_id", "is_test", "n_sentences")])
 
 
-@query()
+def s_draw(seed: int, *columns: str) -> str:
+    told = " || ':' || ".join([q(str(seed)), *(f"coalesce({c}::VARCHAR, 'null')" for c in columns)])
+    return f"('0x' || substr(md5({told}), 1, 15))::BIGINT"
+
+
+_WEIGHT = " + ".join(f"(u >= {b!r}::DOUBLE)::INT" for b in E.poisson_bounds())
+_MEANS = f"SELECT b, sum(w * pk) / sum(w) AS m FROM (SELECT *, {_WEIGHT} AS w FROM (SELECT doc_id, b, pk, {s_draw(42, 'doc_id', 'b')} / {2.0**60!r}::DOUBLE AS u FROM ({SQL['pk_windowdiff']}), (SELECT unnest(range(1, 1001)) AS b))) GROUP BY b"
+
+
+@query(f"SELECT (SELECT round(avg(pk), 6) FROM ({SQL['pk_windowdiff']})) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM ({_MEANS})")
 def bootstrap_interval(spark, sf_dir):
-    return E.bootstrap_ci(E.scores(E.boundaries(segmented(spark, sf_dir))).select("doc_id", "pk"), "pk")
+    ci = E.bootstrap_ci(E.scores(E.boundaries(segmented(spark, sf_dir))).select("doc_id", "pk"), "pk")
+    return ci.select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 # --- data preparation ---------------------------------------------------------------------------------------------
@@ -625,18 +648,21 @@ def renumber(spark, sf_dir):
     return D.renumber(docs(spark, sf_dir).select("doc_id")).select("doc_id", "number")
 
 
-@query()
+_DRAWN = f"SELECT doc_id, {s_draw(42, 'doc_id')} AS h FROM documents"
+
+
+@query(f"SELECT doc_id FROM ({_DRAWN}) ORDER BY h, doc_id LIMIT 300")
 def sample_documents(spark, sf_dir):
     """The 300 sampled ids: sampling is what this operator does."""
     return D.sample_documents(docs(spark, sf_dir).select("doc_id"), 300)
 
 
-@query("SELECT count(*) AS n, CAST(floor(count(*) * 0.3) AS BIGINT) AS n_test FROM documents")
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) <= ceil(0.3 * count(*) OVER ()) AS is_test FROM ({_DRAWN})")
 def train_test_split(spark, sf_dir):
-    return D.train_test_split(docs(spark, sf_dir).select("doc_id")).agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("long")).alias("n_test"))
+    return D.train_test_split(docs(spark, sf_dir).select("doc_id"))
 
 
-@query()
+@query(f"SELECT doc_id, (h % 5)::INT AS fold FROM ({_DRAWN})")
 def folds(spark, sf_dir):
     return D.folds(docs(spark, sf_dir).select("doc_id"))
 
@@ -648,14 +674,21 @@ def tuning_grid(spark, sf_dir):
     return rows.select("doc_id", "alpha", "pos", "true_segment", "pred_segment")
 
 
-@query()
+_ALPHAS = "doc_id, alpha"
+_TUNED = f"""SELECT doc_id, alpha, boundary_f1, coalesce(pk, 0) AS pk, coalesce(wd, 0) AS windowdiff, {s_draw(42, 'doc_id')} % 5 AS fold FROM ({s_boundary_f1(SQL['tuning_grid'], _ALPHAS)})
+LEFT JOIN (SELECT {_ALPHAS}, avg(((t > 0) <> (p > 0))::INT) AS pk, avg(abs(t - p)) AS wd FROM ({s_windows(SQL['tuning_grid'], _ALPHAS)}) GROUP BY {_ALPHAS}) USING (doc_id, alpha)"""
+_SCORES = ("boundary_f1", "pk", "windowdiff")
+_FOLD_MEANS = f"SELECT alpha, fold, {', '.join(f'avg({m}) AS {m}' for m in _SCORES)} FROM ({_TUNED}) GROUP BY alpha, fold"
+
+
+@query(f"SELECT alpha, {', '.join(f'round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std' for m in _SCORES)}, 'own' AS model FROM ({_FOLD_MEANS}) GROUP BY alpha ORDER BY boundary_f1_mean DESC, alpha LIMIT 1")
 def tuning_best(spark, sf_dir):
     """The best alpha by cross-validated F1, against segments of five sentences."""
     rows = D.tuning_rows(vectors(spark, sf_dir).withColumn("label", (F.col("pos") % 5 == 0).cast("int")))
     keyed = rows.withColumn("key", F.struct("doc_id", "alpha"))
-    s = E.scores(E.boundaries(keyed, "key"), doc_col="key").select("key.*", "boundary_f1", "pk", "windowdiff")
-    cv = D.cross_validated(D.folds(s), ["boundary_f1", "pk", "windowdiff"], ["alpha"]).withColumn("model", F.lit("own"))
-    return D.best_by_f1(cv, ["own"])
+    s = E.scores(E.boundaries(keyed, "key"), doc_col="key").select("key.*", *_SCORES)
+    cv = D.cross_validated(D.folds(s), list(_SCORES), ["alpha"]).withColumn("model", F.lit("own"))
+    return D.best_by_f1(cv.select("alpha", "model", *[F.round(c, 6).alias(c) for c in cv.columns if c not in ("alpha", "model")]), ["own"])
 
 
 @query(f"SELECT doc_id, count(*)::INT AS n_sentences, (max(true_segment) + 1)::INT AS n_chunks FROM ({SEGMENTED}) GROUP BY doc_id")
