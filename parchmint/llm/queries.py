@@ -79,4 +79,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {"op2_warc": sql.WARC, "op4_secrets": sql.SECRETS, "op5_jaccard_join": sql.JACCARD, "op7_sharding": sql.SHARDING, "op10_decontamination": sql.DECONTAMINATION}
+SQL: dict[str, str] = {"op2_warc": sql.WARC, "op3_suffix_dedup": sql.REPEATS, "op4_secrets": sql.SECRETS, "op5_jaccard_join": sql.JACCARD, "op7_sharding": sql.SHARDING, "op10_decontamination": sql.DECONTAMINATION}
