@@ -247,7 +247,34 @@ _text_query("normalize_spaces", T.normalize_spaces, s_spaces("text"))
 _text_query("normalize_punctuation", T.normalize_punctuation, s_punctuation("text"))
 _text_query("normalize_whitespace", T.normalize_whitespace, s_strip(sub(sub("text", r"\r\n|\r", LF), r"[ \t]+", "' '")))
 _text_query("repair_symbols", T.repair_symbols, f"translate(text, {q(T.SYMBOL_FROM)}, {q(T.SYMBOL_TO)})")
-_text_query("clean_markdown", clean_markdown, None)
+#: Markup of every kind around a document, and formulas that look like markup.
+MARKDOWN = "# Title *one* and **two** ***three***\n\n> quoted ~~gone~~ text\n> more\n\n- a [link](http://x.y/z) here\n* ![image](pic.png) there\n+ item __four__ or _five_, not snake_case_name\n2. second   $a*b*c$ and $$x_1\n_2_$$ kept\n"
+
+
+def s_clean_markdown(x: str) -> str:
+    """The same rules in their order, in a language without look-around: runs of stars are set aside before single ones."""
+    protected = q(r"(?s)(\$\$.*?\$\$|\$.*?\$)")
+    found, pieces = f"regexp_extract_all({x}, {protected})", f"regexp_split_to_array({x}, {protected})"
+    mark = "'<<<MD_FORMULA_' || i || '>>>'"
+    out = f"array_to_string(list_transform(range(0, len({pieces})), lambda i: ({pieces})[i + 1] || CASE WHEN i < len({found}) THEN {mark} ELSE '' END), '')"
+    one, word = q(r"\1"), r"[^\p{L}\p{N}_]"
+    for pattern, by in ((r"!\[[^\n]*?\]\([^\n]*?\)", "''"), (r"\[([^\]]*)\]\([^)]*\)", one), (r"\*\*\*([^\n]*?)\*\*\*", one), (r"\*\*([^\n]*?)\*\*", one), (r"__([^\n]*?)__", one)):
+        out = sub(out, pattern, by)
+    aside = f"replace(replace({out}, '**', chr(2) || chr(2)), chr(2) || '*', chr(2) || chr(2))"
+    out = f"replace({sub(aside, r'\*([^\n]*?)\*', one)}, chr(2), '*')"
+    out = sub(out, rf"(?m)(^|{word})_([^\n]*?)_($|{word})", q(r"\1\2\3"))
+    for pattern, by in ((r"~~([^\n]*?)~~", one), (rf"(?m)^>{T.WS}?", "''"), (rf"(?m)^#{{1,6}}{T.WS}+", "''"), (rf"(?m)^{T.WS}*[-*+]{T.WS}+", "''"), (rf"(?m)^{T.WS}*\p{{Nd}}+\.{T.WS}+", "''"), (r"[ \t]+", "' '"), (r" *\n *", LF), (r"\n{3,}", f"{LF} || {LF}")):
+        out = sub(out, pattern, by)
+    pairs = f"list_transform(range(0, len({found})), lambda i: {mark} || chr(3) || ({found})[i + 1])"
+    return f"list_reduce({pairs}, lambda held, p: replace(held, split_part(p, chr(3), 1), split_part(p, chr(3), 2)), {s_strip(out)})"
+
+
+@query(f"SELECT doc_id, {s_clean_markdown('text')} AS out FROM (SELECT doc_id, {q(MARKDOWN)} || text AS text FROM documents)")
+def clean_markdown_text(spark, sf_dir):
+    """Documents after a head of Markdown."""
+    return docs(spark, sf_dir).select("doc_id", clean_markdown(F.concat(F.lit(MARKDOWN), F.col("text"))).alias("out"))
+
+
 _text_query("clean_for_analysis", M.clean_for_analysis, s_clean("text"))
 _text_query("first_sentence", M.first_sentence, s_first_sentence("text"))
 _SPOKEN = rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(T.IRRELEVANT_PHRASES)})(?:[^\p{{L}}\p{{N}}_]|$)"
