@@ -186,7 +186,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def model_of(rows: DataFrame) -> Model:
     """Of rows with votes and counts that pass the base rule; the driver gets one count per pattern."""
-    return fit({r.votes: r.n for r in rows.where(~failed()).groupBy("votes").agg(F.count("*").alias("n")).toLocalIterator()})
+    return fit({r.votes: r.n for r in rows.where(~failed()).groupBy("votes").agg(F.count("*").alias("n")).collect()})
 
 
 def failed():
