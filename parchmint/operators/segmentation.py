@@ -98,7 +98,7 @@ def fit_boundaries(pairs: DataFrame, grid: tuple[float, ...] = (0.01, 0.1, 1.0),
     model = LogisticRegression(maxIter=max_iter, tol=1e-4, weightCol="weight", standardization=False)
     params = ParamGridBuilder().addGrid(model.regParam, [1 / (c * total) for c in grid]).build()
     judge = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
-    return CrossValidator(estimator=model, estimatorParamMaps=params, evaluator=judge, numFolds=folds, seed=seed).fit(data)
+    return CrossValidator(estimator=model, estimatorParamMaps=params, evaluator=judge, numFolds=folds, seed=seed, parallelism=len(grid)).fit(data)
 
 
 def predict_boundaries(model, pairs: DataFrame, threshold: float = 0.5, doc_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
