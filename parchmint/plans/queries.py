@@ -734,7 +734,7 @@ _LF_TEXT = f"replace(replace(text, {CR} || {LF}, {LF}), {CR}, {LF})"
 @query(f"""SELECT path, '.txt' AS ext, CASE WHEN k < 3 THEN CASE WHEN k = 2 THEN chr(65279) ELSE '' END || t END AS text, 'txt' AS file_type, CASE WHEN k < 3 THEN ['utf-8', 'utf-8-sig', 'utf-16-be'][k + 1] END AS encoding, size AS file_size,
  CASE WHEN k < 3 THEN length(t) - length(replace(t, {LF}, '')) + 1 END::INT AS line_count, CASE WHEN k < 3 THEN length(t) + (k = 2)::INT END::INT AS character_count, CASE WHEN k = 3 THEN 'ValueError: the file is empty' END AS error
 FROM (SELECT '/in/' || doc_id || '.TXT' AS path, doc_id % 4 AS k, {_LF_TEXT} AS t, CASE doc_id % 4 WHEN 0 THEN strlen(text) WHEN 1 THEN strlen(text) + 3 WHEN 2 THEN 2 * length(text) + 2 ELSE 0 END::BIGINT AS size
- FROM (SELECT doc_id, replace({q(HEAD.removeprefix(chr(0xFEFF)))}, {LF}, {CR}) || text AS text FROM documents))""")
+ FROM (SELECT doc_id, replace({q(HEAD.removeprefix("\ufeff"))}, {LF}, {CR}) || text AS text FROM documents))""")
 def text_files(spark, sf_dir):
     """Documents as bytes of files in three encodings, or none, and read again."""
     rows = docs(spark, sf_dir).withColumn("text", F.concat(F.lit(HEAD.removeprefix("\ufeff").replace("\n", "\r")), "text"))
